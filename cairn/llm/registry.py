@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate
+from . import ann, bpe, decontaminate, html_text, secrets, warc
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_bpe": bpe.op2_bpe,
+        "op4_ann": ann.op4_ann,
+        "op5_warc": warc.op5_warc,
+        "op7_secrets": secrets.op7_secrets,
+        "op9_html": html_text.op9_html,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.OP1_SQL,
+        "op5_warc": warc.OP5_SQL,
     }
