@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontaminate, html_text, secrets, warc
+from . import ann, bpe, decontaminate, html_text, jaccard, secrets, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_bpe": bpe.op2_bpe,
         "op4_ann": ann.op4_ann,
         "op5_warc": warc.op5_warc,
+        "op6_jaccard": jaccard.op6_jaccard,
         "op7_secrets": secrets.op7_secrets,
         "op9_html": html_text.op9_html,
     }
@@ -20,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.OP1_SQL,
         "op5_warc": warc.OP5_SQL,
+        "op6_jaccard": jaccard.OP6_SQL,
     }
