@@ -49,6 +49,8 @@ NEWER = [
 #: First UTF-8 byte of the lowest of them: text without a byte so high holds none.
 NEWER_LEAD = 0xD5
 LONGEST_WORD = 64
+#: Size and multiplier of the hash table of merges; the rank of no merge.
+SLOT_BITS, SLOT_FACTOR, NO_RANK = 18, 0x9E3779B97F4A7C15, np.iinfo(np.int32).max
 LEXICON_WORDS = 50_000
 
 
@@ -80,6 +82,88 @@ class Vocabulary:
             a, b = (bytes(back[c] for c in x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self.pairs[ids[a], ids[b]] = (rank, ids[a + b])
 
+    def _slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The merges as an open-addressing table: pair keys (-1: free), ranks and results."""
+        if not hasattr(self, "_table"):
+            keys = np.full(1 << SLOT_BITS, -1, dtype=np.int64)
+            ranks, results = np.zeros(len(keys), dtype=np.int32), np.zeros(len(keys), dtype=np.int32)
+            for (a, b), (rank, new) in self.pairs.items():
+                key = a << 32 | b
+                slot = (key * SLOT_FACTOR & (1 << 64) - 1) >> (64 - SLOT_BITS)
+                while keys[slot] >= 0:
+                    slot = (slot + 1) & (len(keys) - 1)
+                keys[slot], ranks[slot], results[slot] = key, rank, new
+            self._table = keys, ranks, results
+        return self._table
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (NO_RANK: no such merge) and results of many pairs at once."""
+        keys, ranks, results = self._slots()
+        key = a.astype(np.int64) << 32 | b
+        slot = (key.astype(np.uint64) * np.uint64(SLOT_FACTOR) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        rank, result = np.full(len(key), NO_RANK, dtype=np.int32), np.zeros(len(key), dtype=np.int32)
+        left = np.flatnonzero((a >= 0) & (b >= 0))
+        while len(left):
+            at = slot[left]
+            held = keys[at]
+            hit = held == key[left]
+            rank[left[hit]], result[left[hit]] = ranks[at[hit]], results[at[hit]]
+            left = left[~hit & (held >= 0)]
+            slot[left] = (slot[left] + 1) & (len(keys) - 1)
+        return rank, result
+
+    def merge_many(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact BPE of many words, all of them one merge a step: (bounds, ids)."""
+        sizes = ends - starts
+        counts = np.zeros(len(starts), dtype=np.int64)
+        done = []
+        lower = 0
+        for width in (8, 16, 32, 64):
+            rows = np.flatnonzero((sizes > lower) & (sizes <= width))
+            lower = width
+            if not len(rows):
+                continue
+            place = np.arange(width)
+            inside = place < sizes[rows, None]
+            parts = np.where(inside, np.array(self.single, dtype=np.int32)[data[np.minimum(starts[rows, None] + place, len(data) - 1)]], -1)
+            rank, result = (x.reshape(len(rows), width - 1) for x in self._ranks(parts[:, :-1].ravel(), parts[:, 1:].ravel()))
+            live = np.arange(len(rows))
+            while len(live):
+                at = rank[live].argmin(axis=1)
+                some = rank[live, at] < NO_RANK
+                live, at = live[some], at[some]
+                if not len(live):
+                    break
+                p, r, q = parts[live], rank[live], result[live]
+                new = q[np.arange(len(live)), at]
+                # close the gap: what stands behind the merged pair moves one place to the left
+                for table, first, fill in ((p, 1, -1), (r, 0, NO_RANK), (q, 0, 0)):
+                    later = np.arange(table.shape[1] - 1) >= (at + first)[:, None]
+                    table[:, :-1] = np.where(later, table[:, 1:], table[:, :-1])
+                    table[:, -1] = fill
+                one = np.arange(len(live))
+                p[one, at] = new
+                before = at > 0
+                r[one[before], at[before] - 1], q[one[before], at[before] - 1] = self._ranks(p[one[before], at[before] - 1], new[before])
+                after = at < width - 1
+                after &= np.take_along_axis(p, np.minimum(at + 1, width - 1)[:, None], 1)[:, 0] >= 0
+                r[one[~after], np.minimum(at[~after], width - 2)] = np.where(at[~after] < width - 1, NO_RANK, r[one[~after], np.minimum(at[~after], width - 2)])
+                r[one[after], at[after]], q[one[after], at[after]] = self._ranks(new[after], p[one[after], at[after] + 1])
+                parts[live], rank[live], result[live] = p, r, q
+            kept = parts >= 0
+            counts[rows] = kept.sum(axis=1)
+            done.append((rows, parts[kept]))
+        for row in np.flatnonzero(sizes > lower).tolist():
+            ids = np.array(self.merge(data[starts[row] : ends[row]].tobytes()), dtype=np.int32)
+            counts[row] = len(ids)
+            done.append((np.array([row]), ids))
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        out = np.zeros(int(bounds[-1]), dtype=np.int32)
+        for rows, ids in done:
+            n = counts[rows]
+            out[np.repeat(bounds[:-1][rows], n) + np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)] = ids
+        return bounds, out
+
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE: merge the pair of the lowest rank, leftmost first, until none is left."""
         parts = [self.single[b] for b in word]
@@ -223,37 +307,36 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
         self.vocabulary, self.transducer = vocabulary, transducer
         self.patterns, self.added = _patterns(), list(vocabulary.added)
-        self.memo: dict[bytes, list[int]] = {}
 
     def words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pre-tokens: (bounds, ids)."""
         _, rows, data, bounds = next(text_views(distinct, 1 << 62))
         starts, ends = bounds[:-1], bounds[1:]
+        added: dict[int, int] = {}
         ranks = self.transducer.ranks(data, starts, ends)
         known = ranks >= 0
         sizes = np.zeros(rows, dtype=np.int64)
         sizes[known] = self.transducer.bounds[ranks[known] + 1] - self.transducer.bounds[ranks[known]]
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        merged: dict[int, list[int]] = {}
-        for k in np.flatnonzero(~known).tolist():
-            word = data[starts[k] : ends[k]].tobytes()
-            ids = self.memo.get(word)
-            if ids is None:
-                token = self.vocabulary.added.get(word.decode()) if len(word) < 256 else None
-                ids = [token] if token is not None else self.vocabulary.merge(word)
-                if len(word) <= 256:
-                    self.memo[word] = ids
-            merged[k] = ids
-            sizes[k] = len(ids)
+        unseen = np.flatnonzero(~known)
+        for token, i in self.vocabulary.added.items():
+            named = unseen[(ends - starts)[unseen] == len(token.encode())]
+            for k in named.tolist():
+                if data[starts[k] : ends[k]].tobytes() == token.encode():
+                    added[k] = i
+        unseen = unseen[~np.isin(unseen, list(added))] if added else unseen
+        merged_bounds, merged = self.vocabulary.merge_many(data, starts[unseen], ends[unseen])
+        sizes[unseen] = np.diff(merged_bounds)
+        sizes[list(added)] = 1
         out_bounds = np.concatenate(([0], np.cumsum(sizes)))
         ids = np.zeros(int(out_bounds[-1]), dtype=np.int32)
         if known.any():
             n, first = sizes[known], self.transducer.bounds[ranks[known]].astype(np.int64)
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             ids[np.repeat(out_bounds[:-1][known], n) + inner] = self.transducer.ids[np.repeat(first, n) + inner]
-        for k, x in merged.items():
-            ids[out_bounds[k] : out_bounds[k + 1]] = x
+        n = sizes[unseen]
+        ids[np.repeat(out_bounds[:-1][unseen], n) + np.arange(len(merged)) - np.repeat(merged_bounds[:-1], n)] = merged
+        for k, i in added.items():
+            ids[out_bounds[k]] = i
         return out_bounds, ids
 
     def encode(self, texts: list[str], newer: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -363,10 +446,17 @@ def decode(df: DataFrame, codec: Codec, ids_col: str = "ids", out_col: str = "de
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = codec.encoder().vocabulary.bytes_of
+        sizes = np.array([len(x) for x in table], dtype=np.int64)
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                texts = [b"".join([table[i] for i in ids]).decode("utf-8", "replace") if ids else "" for ids in part.column(at).to_pylist()]
+                lists = part.column(at)
+                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                ids = lists.flatten().to_numpy()
+                data = b"".join(map(table.__getitem__, ids.tolist()))
+                ends = np.concatenate(([0], np.cumsum(n)))
+                cuts = np.concatenate(([0], np.cumsum(sizes[ids])))[ends]
+                texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
     return df.mapInArrow(decoded, StructType([*df.schema.fields, StructField(out_col, StringType())]))
