@@ -1,7 +1,7 @@
 """Content-addressed WARC archive.
 
 ``write_archive`` turns pages into WARC records and stores them as two tables: ``payloads`` holds every
-distinct payload once, under its SHA-256, and ``records`` the exact header bytes of each record (WARC
+distinct payload once, compressed, under its SHA-256, and ``records`` the exact header bytes of each record (WARC
 header and HTTP header) with the digest of its payload. The digest is verified twice: when writing, all
 records that share it must agree in size and SHA-1; when reading, the stored bytes must hash to it.
 ``read_archive`` rebuilds the original records by joining the two tables and parses them.
@@ -21,6 +21,7 @@ columns are read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +45,15 @@ def _urn(page_id) -> F.Column:
     return F.concat(F.lit("<" + URN), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads as zlib streams, by which they move and are stored."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 256):
+            part = batch.slice(first, 256)
+            packed = pa.array([zlib.compress(x.as_buffer(), 3) for x in part.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed], names=["page_id", "sha256", "packed"])
+
+
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> None:
     """Write ``path/payloads`` and ``path/records``."""
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
@@ -53,9 +63,9 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     groups = base.groupBy("sha256").agg(F.max("page_id").alias("keep_id"), verified.alias("n"))
     groups = groups.select("sha256", "keep_id", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
     kept = groups.withColumnRenamed("sha256", "key")
-    # the join's keys are those of the de-duplication: one shuffle
-    payloads = base.select("page_id", "sha256", "payload").join(kept, F.col("page_id").eqNullSafe(F.col("keep_id")) & (F.col("sha256") == F.col("key")))
-    payloads.dropDuplicates(["page_id", "sha256"]).select("sha256", "salts", "payload").write.parquet(f"{path}/payloads")
+    # packed before they move; the join's keys are those of the de-duplication: one shuffle
+    payloads = base.select("page_id", "sha256", "payload").mapInArrow(_packed, "page_id long, sha256 binary, packed binary").join(kept, F.col("page_id").eqNullSafe(F.col("keep_id")) & (F.col("sha256") == F.col("key")))
+    payloads.dropDuplicates(["page_id", "sha256"]).select("sha256", "salts", "packed").write.parquet(f"{path}/payloads")
 
     revisit = (F.col("size") >= revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("keep_id"))
     kind = F.when(revisit, "revisit").otherwise("response")
@@ -76,9 +86,18 @@ def rebuild(records: DataFrame, payloads: DataFrame) -> DataFrame:
     spread = payloads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     salted = records.withColumn("salt", F.pmod(F.xxhash64("header"), F.col("salts")).cast("int")).drop("salts")
     joined = salted.join(spread, ["sha256", "salt"])
-    tail = F.lit(b"\r\n\r\n")
-    whole = F.when(F.col("record_type") == "response", F.concat("header", "payload", tail)).otherwise(F.concat("header", tail))
-    return joined.select("sha256", whole.alias("record"), F.when(F.col("record_type") == "revisit", F.col("payload")).alias("referred"))
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                keys, kinds, headers, packed = (c.to_pylist() for c in batch.slice(first, 256).columns)
+                payloads = [zlib.decompress(x) for x in packed]
+                whole = [k == "response" for k in kinds]
+                records = [h + (p if w else b"") + b"\r\n\r\n" for h, p, w in zip(headers, payloads, whole, strict=True)]
+                referred = [None if w else p for p, w in zip(payloads, whole, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (keys, records, referred)], names=["sha256", "record", "referred"])
+
+    return joined.select("sha256", "record_type", "header", "packed").mapInArrow(opened, "sha256 binary, record binary, referred binary")
 
 
 def parse_record(data: bytes, start: int = 0) -> tuple[dict[str, str], bytes, int]:
