@@ -14,8 +14,10 @@ are the classes of documents that links connect. The result is exact:
    the two sets is counted in each range separately and the counts are summed per pair. The first
    fragment alone excludes most unrelated pairs: their difference there exceeds what the whole pair may differ.
 5. Links give components. A bucket whose members are in one component is done. The members of other buckets are
-   compared across components: all of them in small buckets, leader by leader, round after round, in large ones.
-   So copies are never expanded into all pairs, and no link between components is missed.
+   compared across components, those whose sizes and parity bits allow a link: all at once where few members are outside of
+   the bucket's main component, of which a growing share is tried round by round; other buckets are first dealt out by set size, and what is
+   still large is compared with a few leaders, round after round. So copies are never expanded into all pairs, and no
+   link between components is missed.
 
 Nothing of the size of the corpus is collected or broadcast; the list of frequent n-grams is at most
 FREQUENT_LIMIT long. Hot buckets and digests meet in joins that Spark's adaptive execution can split.
@@ -34,17 +36,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import NOT_SPACE, Words, discard, materialize, mix, text_views
 
 SHINGLE, PERCENT = 5, 80
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: An n-gram is frequent from this count on; at most so many of the most frequent are told apart.
 FREQUENT_FROM, FREQUENT_LIMIT = 16, 1 << 20
 #: N-grams that one task gathers before it counts repeats.
 GATHER = 1 << 22
-SMALL_BUCKET = 64
+#: Buckets with up to so many members outside of their main component are compared in one join that lets only possible links out; others with so many leaders a round.
+SMALL_BUCKET, LEADERS = 1024, 64
+#: Members of a bucket's main component that are tried in the first round; 8 times as many in each further one, until all are.
+FIRST_SHARE = 8
+#: Bits of the maps that pick the texts whose sets a verification reads, and the n-grams that more than one prefix holds.
+TEXT_BITS, GRAM_BITS = 1 << 23, 1 << 25
 
 _U = np.uint64
 
@@ -68,8 +74,12 @@ def shingle_sets(words: Words, data: np.ndarray, bounds: np.ndarray, size: int =
                 for k in range(count):
                     one = one * _U(0xD1342543DE82EF95) + h[ends[short] + k]
                 rows, values = np.concatenate([rows, short]), np.concatenate([values, mix(one)])
-    order = np.lexsort((values, rows))
-    rows, values = rows[order], values[order]
+        if ((n > 0) & (n < size)).any():
+            order = np.argsort(rows, kind="stable")
+            rows, values = rows[order], values[order]
+    cuts = np.searchsorted(rows, np.arange(len(n) + 1)).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        values[a:b].sort()
     if len(rows):
         new = np.concatenate(([True], (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])))
         rows, values = rows[new], values[new]
@@ -99,8 +109,8 @@ def frequent_ngrams(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
             yield counted()
 
     grams = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(repeats, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = grams.where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "gram").limit(FREQUENT_LIMIT).collect()
-    hashes = np.array([r[0] for r in got], dtype=np.int64).view(np.uint64)
+    got = grams.where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "gram").limit(FREQUENT_LIMIT).select("gram").toArrow()
+    hashes = got["gram"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], (len(got) - np.arange(len(got)))[order]  # the most frequent come last
 
@@ -109,8 +119,21 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n - -(-PERCENT * n // 100) + 1, 0)
 
 
+def parity_bits(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, as two int64 columns: every n-gram flips one bit. Two sets differ in at least as many n-grams as their bits do."""
+    out = []
+    some = ends[1:] > ends[:-1]
+    flips = _U(1) << (values & _U(63))
+    for half in (0, 1):
+        word = np.zeros(len(ends) - 1, dtype=np.uint64)
+        if some.any():
+            word[some] = np.bitwise_xor.reduceat(np.where((values >> _U(6) & _U(1)) == half, flips, _U(0)), ends[:-1][some])
+        out.append(word.view(np.int64))
+    return out[0], out[1]
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per row: doc_id, n (set size), digest (of the whole set) and prefix (the first n-grams in the global order)."""
+    """Per row: doc_id, n (set size), digest (of the whole set), bits (parity_bits) and prefix (the first n-grams in the global order)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_LIMIT entries
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,45 +143,81 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, frequent: tuple[np.n
                 values, ends = shingle_sets(words, data, bounds)
                 n = np.diff(ends)
                 digests = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                bits = parity_bits(values, ends)
                 row = np.repeat(np.arange(rows), n)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, values), len(known) - 1)
                     late = np.where(known[at] == values, place[at], 0)
-                    order = np.lexsort((values, late, row))
-                    values = values[order]
+                    # nearly sorted already, which a stable sort makes use of
+                    values = values[np.argsort(row * (len(known) + 1) + late, kind="stable")]
                 keep = np.arange(len(values)) - ends[:-1][row] < prefix_length(n)[row]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix_length(n)))), pa.int32()), pa.array(values[keep].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n", "digest", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(bits[0]), pa.array(bits[1]), lists], names=["doc_id", "n", "digest", "bits0", "bits1", "prefix"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(signed, "doc_id long, n int, digest binary, bits0 long, bits1 long, prefix array<long>")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(signed, "doc_id long, n int, digest binary, prefix array<long>")
+def _bitmap(values: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of ``bits`` bits over hashes of a column, of the same size for any number of values."""
+    bit = F.pmod(F.xxhash64(*values.columns), F.lit(bits))
+    words = values.select(F.shiftright(bit, 6).alias("word"), F.expr("1L").alias("one"), bit.bitwiseAND(F.lit(63)).cast("int").alias("at")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, at)")).alias("bits"))
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    got = words.toArrow()
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _held(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (bitmap[bit >> 6] >> (bit & 63).astype(np.uint64) & _U(1)).astype(bool)
 
 
 def fragments(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cid, fragment, grams): the sets of the wanted classes (first_id, digest, cid), cut by hash range."""
-    source = docs.select(F.col(id_col).cast("long").alias("first_id"), F.col(text_col).cast("string").alias("text")).join(wanted.select("first_id", "digest", "cid"), "first_id")
+    """(cid, grams, fragment): the sets of documents, cut by hash range; at least those of the wanted first_ids.
+
+    A bitmap of fixed size keeps most texts that aren't wanted from being cut at all, and texts never move. What it lets through
+    too much finds no partner in the joins that follow."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("first_id"), TEXT_BITS))  # TEXT_BITS / 8 bytes
+    source = docs.select(F.col(id_col).cast("long").alias("first_id"), F.col(text_col).cast("string").alias("text")).select(F.pmod(F.xxhash64("first_id"), F.lit(TEXT_BITS)).alias("bit"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, places = Words(NOT_SPACE), np.arange(FRAGMENTS)
         for batch in batches:
-            for first, rows, data, bounds in text_views(batch.column(0)):
+            batch = batch.filter(pa.array(_held(shared.value, batch.column(0).to_numpy())))
+            for _, rows, data, bounds in text_views(batch.column(1)):
                 values, ends = shingle_sets(words, data, bounds)
-                digests = batch.column(1).slice(first, rows).to_pylist()
-                good = np.array([hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() == d for a, b, d in zip(ends[:-1], ends[1:], digests, strict=True)])
+                digests = pa.array([hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
                 row = np.repeat(np.arange(rows), np.diff(ends))
                 # values are sorted within a row, so fragments follow each other
-                part = row * FRAGMENTS + (values >> _U(61)).astype(np.int64)
+                part = row * FRAGMENTS + (values >> _U(64 - (FRAGMENTS - 1).bit_length())).astype(np.int64)
                 cuts = np.searchsorted(part, np.arange(rows * FRAGMENTS + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values.view(np.int64)))
-                ids = np.repeat(batch.column(2).slice(first, rows).to_numpy(), FRAGMENTS)
-                out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.tile(places, rows), pa.int32()), lists], names=["cid", "fragment", "grams"])
-                yield out.filter(pa.array(np.repeat(good, FRAGMENTS)))
+                yield pa.RecordBatch.from_arrays([digests.take(pa.array(np.repeat(np.arange(rows), FRAGMENTS))), lists, pa.array(np.tile(places, rows), pa.int32())], names=["cid", "grams", "fragment"])
 
-    return source.select("text", "digest", "cid").mapInArrow(cut, "cid long, fragment int, grams array<long>").dropDuplicates(["cid", "fragment"])
+    return source.mapInArrow(cut, "cid binary, grams array<long>, fragment int")
 
 
-def _similar(na: str, nb: str) -> F.Column:
-    """Whether two set sizes allow a link at all."""
-    return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+def shared_prefixes(signed: DataFrame, grams: DataFrame) -> DataFrame:
+    """(doc_id, n, digest, bits0, bits1, prefix, places): prefixes without most n-grams that no other prefix holds, by a bitmap of fixed size over those that do."""
+    shared = signed.sparkSession.sparkContext.broadcast(_bitmap(grams.select("gram"), GRAM_BITS))  # GRAM_BITS / 8 bytes
+    source = signed.select("doc_id", "n", "digest", "bits0", "bits1", "prefix", F.transform("prefix", lambda g: F.pmod(F.xxhash64(g), F.lit(GRAM_BITS))).alias("at"))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column(5).offsets.to_numpy())
+            good = _held(shared.value, batch.column(6).flatten().to_numpy())
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            places = (np.arange(len(good)) - np.repeat(ends[:-1], sizes))[good]
+            bounds = pa.array(np.concatenate(([0], np.cumsum(good)))[ends], pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, x) for x in (batch.column(5).flatten().filter(pa.array(good)), pa.array(places, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *lists], names=["doc_id", "n", "digest", "bits0", "bits1", "prefix", "places"])
+
+    return source.mapInArrow(kept, "doc_id long, n int, digest binary, bits0 long, bits1 long, prefix array<long>, places array<int>")
+
+
+def _may_link(x: F.Column, y: F.Column) -> F.Column:
+    """Whether sizes and parity bits of two sets allow a link: the overlap is at most half of what remains of both sizes without the differing bits."""
+    both, differ = (x["n"] + y["n"]).cast("long"), F.bit_count(x["bits0"].bitwiseXOR(y["bits0"])) + F.bit_count(x["bits1"].bitwiseXOR(y["bits1"]))
+    return (100 * F.least(x["n"], y["n"]) >= PERCENT * F.greatest(x["n"], y["n"])) & ((100 + PERCENT) * (both - differ) >= 2 * PERCENT * both)
 
 
 def _needed(na: str, nb: str) -> F.Column:
@@ -168,7 +227,8 @@ def _needed(na: str, nb: str) -> F.Column:
 
 def verify(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Links among pairs (a, b, na, nb): partial overlaps counted by fragment, then summed per pair."""
-    a, b = (segments.select(F.col("cid").alias(x), "fragment", F.col("grams").alias(f"g{x}")) for x in "ab")
+    sets = segments.dropDuplicates(["cid", "fragment"])
+    a, b = (sets.select(F.col("cid").alias(x), "fragment", F.col("grams").alias(f"g{x}")) for x in "ab")
     overlap = F.size(F.array_intersect("ga", "gb"))
     first = pairs.withColumn("fragment", F.lit(0)).join(a.where("fragment = 0"), ["a", "fragment"]).join(b.where("fragment = 0"), ["b", "fragment"])
     first = first.withColumn("overlap", overlap).withColumn("differ", F.size("ga") + F.size("gb") - 2 * F.col("overlap"))
@@ -182,14 +242,14 @@ def verify(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(cid, component) of every linked class, component being the smallest class: alternating large and small stars."""
+    """(cid, component) of every linked class, component being one of its classes: alternating large and small stars."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
         # large star: larger neighbours move to the smallest of the neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: smaller neighbours, and the node itself, move to the smallest
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
@@ -205,8 +265,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) whose sizes, and places of a shared n-gram, allow a link. rows: a, b, na, nb, pa, pb."""
-    rows = rows.where(_similar("na", "nb"))
+    """Pairs (a, b, na, nb) for which the places of a shared n-gram allow a link. rows: a, b, na, nb, pa, pb."""
     # the first shared n-gram leaves the most behind it, so the largest bound is that of the pair
     bound = F.max(1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1)
     pairs = rows.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), bound.alias("bound"))
@@ -220,56 +279,77 @@ def _ordered(x: str, y: str) -> list:
     return [pick(f, flip).alias(name + side) for side, flip in (("a", False), ("b", True)) for f, name in (("cid", ""), ("n", "n"), ("place", "p"))]
 
 
-def classes_of(signed: DataFrame) -> DataFrame:
-    """(digest, cid, first_id, n): classes of equal, non-empty sets; first_id is the smallest doc_id, and the class id unless another class has it."""
-    out = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
-    number = F.row_number().over(Window.partitionBy("first_id").orderBy("digest"))
-    own = -1 - F.xxhash64("digest").bitwiseAND(F.lit((1 << 62) - 1))
-    return out.withColumn("cid", F.when((number == 1) & F.col("first_id").isNotNull(), F.col("first_id")).otherwise(own))
+def _band(n: str) -> F.Column:
+    """Sizes that differ by a factor of at most 100 / PERCENT are in the same band or in neighbouring ones (0.999 covers rounding)."""
+    return F.floor(0.999 * F.log(F.col(n).cast("double")) / float(np.log(100 / PERCENT)))
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach). Classes go by the digest of their set."""
     signed = materialize(signatures(docs, id_col, text_col, frequent_ngrams(docs, text_col)), "signatures")
-    classes = materialize(classes_of(signed), "classes")
-    reps = signed.withColumnRenamed("doc_id", "first_id").join(classes.select("first_id", "digest", "cid"), ["first_id", "digest"]).dropDuplicates(["first_id", "digest"])
-    grams = reps.select("cid", "n", F.posexplode("prefix").alias("place", "gram"))
-    me = F.struct("cid", "n", "place")
-    buckets = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min(me).alias("leader")).where("members > 1")
-    shared = materialize(grams.join(buckets, "gram").select("gram", "members", "leader", me.alias("me")), "buckets")
+    classes = materialize(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")), "classes")
+    twice = materialize(signed.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
+    one_each = classes.select(F.col("digest").alias("cid"), "first_id")
+    reps = shared_prefixes(signed, twice).join(one_each, (F.col("digest") == F.col("cid")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["digest", "doc_id"])
+    grams = reps.select("cid", "n", "bits0", "bits1", F.explode(F.arrays_zip("prefix", "places")).alias("x")).select(F.col("x.prefix").alias("gram"), F.struct("cid", "n", F.col("x.places").alias("place"), "bits0", "bits1").alias("me"))
+    grams = materialize(grams.join(twice.select("gram"), "gram"), "prefixes")
+    buckets = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min("me").alias("leader")).where("members > 1")
+    shared = materialize(grams.join(buckets, "gram").select("gram", "members", "leader", "me"), "buckets")
+    rows = materialize(signed.select("doc_id", "n", "digest"), "rows")
+    discard(signed, twice, grams)
 
     def linked(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        segments = materialize(fragments(docs, classes.join(ends, "cid"), id_col, text_col), "segments")
+        segments = materialize(fragments(docs, one_each.join(ends, "cid"), id_col, text_col), "segments", "fragment")
         out = materialize(verify(pairs, segments), "links")
         discard(segments)
         return out
 
-    pairs = materialize(_candidates(shared.where("me.cid <> leader.cid").select(*_ordered("leader", "me"))), "pairs")
+    pairs = materialize(_candidates(shared.where((F.col("me.cid") != F.col("leader.cid")) & _may_link(F.col("me"), F.col("leader"))).select(*_ordered("leader", "me"))), "pairs")
     links, tried, open_rows, turn = linked(pairs), pairs, shared.drop("members", "leader"), 0
+    done = [shared, pairs, links]
     labels = materialize(components(links), "labels")
     while True:
         named = open_rows.withColumn("cid", F.col("me.cid")).join(labels, "cid", "left").select("gram", "me", F.coalesce("component", "cid").alias("component"))
-        mixed = named.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.min_by(F.struct("me", "component"), F.xxhash64("me.cid", F.lit(turn))).alias("leader"))
-        rest = materialize(named.join(mixed.where("lo <> hi").select("gram", "members", "leader"), "gram"), "mixed")
+        mixed = named.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "me").alias("main"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
+        rest = materialize(named.join(mixed.select("gram", "main", "members"), "gram"), "mixed")
+        done.append(rest)
         if rest.isEmpty():
             break
-        small, large = rest.where(F.col("members") <= SMALL_BUCKET), rest.where(F.col("members") > SMALL_BUCKET)
-        one, other = (small.select("gram", F.col("me").alias(x), F.col("component").alias(f"c{x}")) for x in ("x", "y"))
-        across = one.join(other, "gram").where((F.col("x.cid") < F.col("y.cid")) & (F.col("cx") != F.col("cy")) & _similar("x.n", "y.n")).select(*_ordered("x", "y"))
-        led = large.where("leader.component <> component").select(F.col("leader.me").alias("x"), F.col("me").alias("y")).select(*_ordered("x", "y"))
-        new = materialize(_candidates(across.unionByName(led)).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        # every pair across components has an end outside of the main one; of the main one, a share that grows from round to round is tried,
+        # since one link is enough to join it
+        sized = rest.join(rest.where("component <> main").groupBy("gram").agg(F.count(F.lit(1)).alias("outsiders")), "gram")
+        inner, inside, quota = F.col("component") == F.col("main"), F.col("members") - F.col("outsiders"), min(FIRST_SHARE * 8**turn, 1 << 40)
+        taken = ~inner | (F.pmod(F.xxhash64("me.cid"), F.lit(1 << 20)) * inside < F.lit(quota << 20))
+        fit = sized.where(F.col("outsiders") <= SMALL_BUCKET)
+        few = fit.where(~inner).select("gram", F.col("me").alias("x"), F.col("component").alias("cx"))
+        all_of = fit.where(taken).select("gram", F.col("me").alias("y"), F.col("component").alias("cy"), inner.alias("inner"))
+        across = all_of.join(few, "gram").where((F.col("cx") != F.col("cy")) & (F.col("inner") | (F.col("x.cid") < F.col("y.cid"))) & _may_link(F.col("x"), F.col("y"))).select(*_ordered("x", "y"))
+        large = sized.where(F.col("outsiders") > SMALL_BUCKET)
+        if turn == 0:  # large buckets are first dealt out by size: sets that link are in the same band or in neighbouring ones
+            banded = large.select("gram", "me", F.explode(F.array(_band("me.n"), _band("me.n") - 1)).alias("band"))
+            open_rows = banded.select(F.xxhash64("gram", "band").alias("gram"), "me")
+        else:
+            slot = F.pmod(F.xxhash64("me.cid", F.lit(turn)), F.lit(LEADERS))
+            leaders = large.groupBy("gram", slot.alias("slot")).agg(F.min_by(F.struct("me", "component"), F.xxhash64("me.cid", F.lit(-turn))).alias("leader")).groupBy("gram").agg(F.collect_list("leader").alias("leaders"))
+            led = large.join(leaders, "gram")
+            near = F.filter("leaders", lambda x: (x["component"] != F.col("component")) & _may_link(x["me"], F.col("me")))
+            both = led.select(F.col("me").alias("y"), F.explode(near).alias("leader")).select(F.col("leader.me").alias("x"), "y")
+            across = across.unionByName(both.select(*_ordered("x", "y")))
+            open_rows = led.where(~F.exists("leaders", lambda x: x["me"]["cid"] == F.col("me.cid"))).select("gram", "me")
+        open_rows = open_rows.unionByName(fit.where(inside > quota).select("gram", "me"))
+        new = materialize(_candidates(across).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
             links = materialize(links.unionByName(linked(new)), "links")
+            done += [new, links, labels]
             labels = materialize(components(links), "labels")
             tried = tried.select("a", "b").unionByName(new.select("a", "b"))
-        open_rows, turn = large.where("me.cid <> leader.me.cid").select("gram", "me"), turn + 1
-        if large.isEmpty():
-            break
-    named = classes.join(labels, "cid", "left").select("digest", "first_id", F.coalesce("component", "cid").alias("component"))
+        turn += 1
+    discard(*done)
+    named = one_each.join(labels, "cid", "left").select(F.col("cid").alias("digest"), "first_id", F.coalesce("component", "cid").alias("component"))
     tops = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     classed = named.join(tops, "component").select("digest", "component_id")
-    out = signed.select("doc_id", "n", "digest").join(classed, "digest", "left")
+    out = rows.join(classed, "digest", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
