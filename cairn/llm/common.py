@@ -7,6 +7,7 @@ stands. Two different words share a hash with a probability of about 5e-20.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -15,9 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once by the vectorised code; one longer document is still handled whole.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Bytes hashed at once inside one slice.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 18
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -40,11 +47,11 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors. ``by``: last column, to lay files out by."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out
@@ -82,6 +89,14 @@ def text_views(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple
         last = min(rows, max(last, first + 1))
         yield first, last - first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are kept and reused, and would hold on to it between batches."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, SLICE_BYTES, Words, binary_rows, discard, materialize, text_views
+from .common import ALNUM, Words, binary_rows, materialize, text_views
 
+#: Text of a segment.
+SEGMENT_BYTES = 1 << 21
 INDEX_SCHEMA = "segment long, doc_ids array<long>, n_words array<int>, terms binary, counts binary, low binary, high binary"
 MATCH_SCHEMA = "segment long, place int, doc_id long, n_words int, spans array<struct<start:int,end:int>>, items array<long>"
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SLICE_BYTES) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Index table: one row per segment, as INDEX_SCHEMA.
 
     ``terms`` holds the sorted term hashes (uint64), ``counts`` their posting counts (uint32), and ``low``
