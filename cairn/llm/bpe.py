@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import text_views
+from .common import small_batches, text_views
 
 #: Fixed value: how this vocabulary's pre-tokens are cut.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -408,6 +408,7 @@ def count_pre_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def fit_lexicon(docs: DataFrame, vocabulary_path: str, size: int = LEXICON_WORDS, text_col: str = "text") -> Codec:
     """Compile the ``size`` most frequent pre-tokens (ties by word) and ship the automaton and the vocabulary file."""
     spark = docs.sparkSession
+    small_batches(spark)
     frequent = [r[0].encode() for r in count_pre_tokens(docs, text_col).orderBy(F.desc("n"), "word").limit(size).collect()]
     vocabulary = Vocabulary(vocabulary_path)
     folder, name = tempfile.mkdtemp(prefix="cairn-lexicon-"), uuid.uuid4().hex

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, discard, materialize, mix, text_views
+from .common import NOT_SPACE, Words, discard, materialize, mix, small_batches, text_views
 
 SHINGLE, PERCENT = 5, 80
 FRAGMENTS = 4
@@ -286,6 +286,7 @@ def _band(n: str) -> F.Column:
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach). Classes go by the digest of their set."""
+    small_batches(docs.sparkSession)
     signed = materialize(signatures(docs, id_col, text_col, frequent_ngrams(docs, text_col)), "signatures")
     classes = materialize(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")), "classes")
     twice = materialize(signed.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
