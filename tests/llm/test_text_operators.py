@@ -196,6 +196,20 @@ def test_secrets(spark, texts, no_docs):
     assert masked == "see [secret] here"
 
 
+def test_secrets_of_one_class_or_few_changes(spark):
+    rng = random.Random(12)
+    kinds = {name: letters for name, letters in secrets.ENCODINGS if name not in ("decimal", "hex")}
+    rows = [(name, "".join(rng.choices(letters, k=40))) for name, letters in kinds.items() for _ in range(40)]
+    plain = ["donaudampfschifffahrtsgesellschaft", "src/main/java/org/apache/spark/sql/Dataset", "my-long-blog-post-title-with-words", "INTERNATIONALISATIONOFTEXT", "electroencefalografistas"]
+    rows += [("text", x) for x in plain]
+    frame = spark.createDataFrame([(i, f"see {t} here") for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {}
+    for r in secrets.scan(frame).collect():
+        found.setdefault(rows[r.doc_id][0], []).append([(x["start"], x["end"]) for x in r.spans] == [(4, 4 + len(rows[r.doc_id][1]))])
+    assert not any(found.pop("text"))
+    assert {k: sum(v) for k, v in found.items() if sum(v) < 30} == {}
+
+
 def test_battery(spark):
     rng = random.Random(4)
     good = ["".join(rng.choices("0123456789abcdef", k=48)) for _ in range(40)]
