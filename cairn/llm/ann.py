@@ -169,7 +169,7 @@ def _distinct(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 class _Best:
-    """The k best (score, id) of each query so far."""
+    """The k best distinct (score, id) of each query so far; a row that several batches repeat takes one place."""
 
     def __init__(self, own: np.ndarray, k: int):
         self.own, self.k = own, k
@@ -179,8 +179,16 @@ class _Best:
         scores = np.where((ids < 0) | (ids == self.own[at, None]), -np.inf, scores)
         ids = np.where(np.isneginf(scores), np.iinfo(np.int64).max, ids)
         scores, ids = np.concatenate([self.scores[at], scores], axis=1), np.concatenate([self.ids[at], ids], axis=1)
-        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
-        self.scores[at], self.ids[at] = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+        order = np.lexsort((ids, -scores), axis=1)
+        scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+        fresh = ~np.isneginf(scores)
+        fresh[:, 1:] &= (scores[:, 1:] != scores[:, :-1]) | (ids[:, 1:] != ids[:, :-1])
+        place = np.cumsum(fresh, axis=1) - 1
+        row, column = np.nonzero(fresh & (place < self.k))
+        best = np.full((len(scores), self.k), -np.inf), np.full((len(scores), self.k), np.iinfo(np.int64).max)
+        for into, values in zip(best, (scores, ids), strict=True):
+            into[row, place[row, column]] = values[row, column]
+        self.scores[at], self.ids[at] = best
 
 
 def search(index: DataFrame, quantiser: Quantiser, queries: DataFrame, k: int = 20, rerank: int = RERANK) -> DataFrame:

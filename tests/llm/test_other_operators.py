@@ -72,6 +72,21 @@ def test_ann(spark):
     assert sorted(r.vec_id for r in few) == [1, 2]
 
 
+def test_ann_repeated_rows(spark):
+    x = np.random.default_rng(2).normal(size=(60, 8))
+    rows = [(i, v.tolist()) for _ in range(25) for i, v in enumerate(x)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") % 20 == 0).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for q in (0, 20, 40):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == np.argsort(-s)[:20].tolist()
+
+
 def test_quantiser():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(800, 8))
