@@ -6,7 +6,10 @@ holds the format's domain, walked until the result lies in the domain again. So
 format, equal values get equal pseudonyms in all documents, different values different ones, and the holder of the
 key can undo it. Separators, lengths, country codes, card brands and e-mail domains stay.
 
-All matches of a text are replaced; overlapping ones go to the leftmost, then to the first kind in KINDS.
+All matches of a text are replaced; overlapping ones go to the leftmost, then to the first kind in KINDS. Cards and
+IBANs may be followed by other digits or words, so every end at a separator is tried, and after a start where
+nothing is valid the search goes on right behind it. Where a pseudonym would make one of the rejected readings
+valid, the walk goes on, so that undoing reads the same value; only there equal values may differ.
 
 Defined cases: null texts stay null, with no values; texts without values stay as they are; repeated rows are
 treated alike; an empty table gives no rows. Other columns are carried along.
@@ -197,18 +200,48 @@ _COMPILED = {k: re.compile(p, re.A) for k, p in KINDS.items()}
 _ANY = re.compile("[0-9@]")
 
 
+def _ends(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Where a value that starts at ``start`` may end, in the order of trial: cards by their usual length, then the longest first."""
+    if kind not in ("card", "iban"):
+        return [end]
+    least = 13 if kind == "card" else 15
+    ends = [e for e in range(end, start + least - 1, -1) if e == end or text[e] in " -" and text[e - 1] not in " -"]
+    if kind == "card":
+        usual = 15 if text[start] == "3" else 16
+        n = {e: len(_digits(text[start:e])) for e in ends}
+        ends = sorted((e for e in ends if n[e] >= least), key=lambda e: n[e] != usual)
+    return ends
+
+
+def _values(kind: str, text: str, names: Pseudonyms) -> Iterator[tuple[int, int, str]]:
+    """(start, end, new value) of the valid values of one kind."""
+    pattern, replace = _COMPILED[kind], getattr(names, kind)
+    at, failed = 0, []  # failed: rejected readings since the last value
+    while m := pattern.search(text, at):
+        start = m.start()
+        at = start + 1
+        for end in _ends(kind, text, start, m.end()):
+            new = replace(text[start:end])
+            if new is None:
+                failed.append((start, end))
+                continue
+            others = [(a, b) for a, b in failed if b > start]
+            while any(replace((text[a:start] + new + text[end:])[: b - a]) is not None for a, b in others):
+                new = replace(new)
+            yield start, end, new
+            at, failed = end, []
+            break
+
+
 def pseudonymise(text: str | None, names: Pseudonyms) -> tuple[str | None, list[tuple[str, int, int]]]:
     """(new text, [(kind, start, end)] in the old text)."""
     if not text or not _ANY.search(text):
         return text, []
     found = []
-    for rank, (kind, pattern) in enumerate(_COMPILED.items()):
+    for rank, kind in enumerate(_COMPILED):
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            new = getattr(names, kind)(m[0])
-            if new is not None:
-                found.append((m.start(), rank, m.end(), kind, new))
+        found += [(start, rank, end, kind, new) for start, end, new in _values(kind, text, names)]
     found.sort()
     out, at, spans = [], 0, []
     for start, _, end, kind, new in found:
