@@ -88,8 +88,8 @@ RULES = [
     ("proprietary", ["all-rights"]),
 ]
 
-#: Every known sentence holds one of these, so a text without any holds no known sentence.
-ANCHOR = re.compile(r"licen[sc]e|permission|warrant|copyright|redistribut|rights reserved|public domain|free software|cc0", re.I)
+#: Every known sentence holds one of these, so a text without any holds no known sentence. Between two words stands whatever ``normalise`` drops.
+ANCHOR = re.compile(r"licen[sc]e|permission|warrant|copyright|redistribut|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|free[^a-z0-9]+software|cc0", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 _CUT = re.compile(r"\n+|[.!?;:]+(?=\s)|,?\s+(?=you may not use this file)")
 

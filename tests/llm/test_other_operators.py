@@ -208,6 +208,17 @@ def test_licences(spark, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_licences_wrapped_anywhere():
+    for texts in licenses.SENTENCES.values():
+        for known in texts:
+            want = [x[0] for x in licenses.sentences(known)]
+            for k in (k for k, c in enumerate(known) if c == " "):
+                for gap in ("\n", "  ", "\u00a0", "\n# "):
+                    text = known[:k] + gap + known[k + 1 :] + "."
+                    assert [x[0] for x in licenses.sentences(text)] == want != [], text
+    assert [x[0] for x in licenses.sentences("Dedicated. This work is in the public-domain.")] == ["public-domain"]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
