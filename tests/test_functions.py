@@ -132,3 +132,12 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [tuple(r) for r in page.collect()] == [(2020, "b"), (None, "a")]
     site = spark.createDataFrame([("x", None, 200), (None, "Verify you are human", 200), (None, "ok", 404), (None, "ok", 401), (None, "domain is for sale", 200)], "e string, t string, s int")
     assert [r[0] for r in site.select(T.site_class(F.col("e"), F.col("t"), F.col("s"))).collect()] == ["dead", "blocked", "dead", "alive", "parked"]
+
+
+def test_suffix_gain_of_long_texts(spark, tmp_path):
+    from cairn.plans.catalog import ALL
+
+    texts = [" ".join(f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(n)) for n in (300, 401, 5000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.gain for r in ALL["suffix_gain"].run(spark, str(tmp_path)).collect()}
+    assert len(got) == 3 and None not in got.values()
