@@ -9,7 +9,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, MapType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType
 
 HEADING = re.compile(r"^\s*(#{1,6}\s+(?P<md>.+?)\s*#*|(?P<caps>[A-Z][A-Z0-9 '’&/-]{2,58})|(?P<plain>[^.!?]{2,60}[:?]?))\s*$")
 # Section names by the words that head them.
@@ -99,10 +99,14 @@ def normalise_chars_one(text: str | None) -> str | None:
     return None if text is None else unicodedata.normalize("NFKC", text).translate(str.maketrans("‘’“”–—", "''\"\"--"))
 
 
+def fuzzy_words_one(text: str | None) -> list[str]:
+    """The words that fuzzy containment compares, in order."""
+    return re.sub(r"[^\w]+", " ", normalise_chars_one(text or "").casefold().replace("'", "")).split()
+
+
 def fuzzy_contains_one(quote: str | None, source: str | None, least: float = 0.9) -> float:
     """Best share of the quote's words found in order in a window of as many words; 0 below four words."""
-    norm = lambda s: re.sub(r"[^\w]+", " ", normalise_chars_one(s or "").casefold().replace("'", "")).split()
-    q, s = norm(quote), norm(source)
+    q, s = fuzzy_words_one(quote), fuzzy_words_one(source)
     if len(q) < 4 or not s:
         return 0.0
     best, rare = 0.0, set(q)
@@ -145,6 +149,11 @@ def normalise_chars(text: pd.Series) -> pd.Series:
     return text.map(normalise_chars_one, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def fuzzy_words(text: pd.Series) -> pd.Series:
+    return text.map(fuzzy_words_one)
+
+
 @F.pandas_udf(DoubleType())
 def fuzzy_contains(quote: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([fuzzy_contains_one(q, s) for q, s in zip(quote, source, strict=True)], dtype=float)

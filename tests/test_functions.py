@@ -141,3 +141,26 @@ def test_suffix_gain_of_long_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.gain for r in ALL["suffix_gain"].run(spark, str(tmp_path)).collect()}
     assert len(got) == 3 and None not in got.values()
+
+
+def test_short_quotes_in_long_documents(spark):
+    from cairn.operators import evidence as E
+
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "five six seven eight"), (3, "four five six and seven eight")], "rid long, text string")
+    items = [(10, "five six seven eight"), (11, "Ten, eleven twelve!"), (12, "nine ten eleven twelve"), (13, "two three four five six seven"), (14, "two three four five six seven eight nine ten"), (15, "five six and seven eight")]
+    got = E.contained_quotes(spark.createDataFrame(items, "item_id long, text string"), docs).collect()
+    assert sorted(map(tuple, got)) == [(10, 1), (10, 2), (12, 1), (13, 1), (14, 1), (15, 3)]
+    assert E.contained_quotes(spark.createDataFrame([], "item_id long, text string"), docs).count() == 0
+
+
+def test_fuzzy_quote_without_its_longest_words(spark, tmp_path):
+    from cairn.plans.catalog import ALL
+
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(33)]
+    quote = list(words)
+    for at in (3, 14, 25):
+        quote[at] = f"longestwords{at}"
+    for name, key, rows in (("documents", "doc_id", [(1, "Before this " + " ".join(words) + " after."), (2, "nothing of it")]), ("benchmark", "item_id", [(7, " ".join(quote))])):
+        spark.createDataFrame(rows, f"{key} long, text string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = ALL["quote_fuzzy"].run(spark, str(tmp_path)).collect()
+    assert [(r.item_id, r.rid, r.exact) for r in got] == [(7, 1, False)] and got[0].share >= 0.9
