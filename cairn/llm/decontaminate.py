@@ -110,7 +110,12 @@ def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == values
 
 
-def _compile(items: list[tuple[int, str]], window: int) -> dict:
+def in_order(ids) -> list[int | None]:
+    """Distinct item ids, a null one last."""
+    return sorted(ids, key=lambda i: (i is None, i))
+
+
+def _compile(items: list[tuple[int | None, str]], window: int) -> dict:
     """Distinct windows of the items as rows of term numbers (padded with -1), and the items of each."""
     words, owners, terms = Words(ALNUM), {}, {}
     for item, text in items:
@@ -122,7 +127,7 @@ def _compile(items: list[tuple[int, str]], window: int) -> dict:
     table = np.full((len(owners), window), -1, dtype=np.int64)
     for row, key in enumerate(owners):
         table[row, : len(key)] = key
-    return {"terms": np.fromiter(terms, dtype=np.uint64, count=len(terms)), "windows": table, "lengths": (table >= 0).sum(axis=1), "owners": [sorted(x) for x in owners.values()]}
+    return {"terms": np.fromiter(terms, dtype=np.uint64, count=len(terms)), "windows": table, "lengths": (table >= 0).sum(axis=1), "owners": list(map(in_order, owners.values()))}
 
 
 def _phrases(segment: Segment, test: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +174,7 @@ def _matched(segment: Segment, test: dict) -> pa.RecordBatch:
     items: dict[int, set] = {}
     for d, x in set(zip(owner.tolist(), w.tolist(), strict=True)):
         items.setdefault(d, set()).update(test["owners"][x])
-    lists = [sorted(items.get(d, ())) for d in range(rows)] if items else [[]] * rows
+    lists = [in_order(items.get(d, ())) for d in range(rows)] if items else [[]] * rows
     ends = np.searchsorted(doc, np.arange(rows + 1)).astype(np.int32)
     spans = pa.StructArray.from_arrays([pa.array(first - segment.starts[doc], pa.int32()), pa.array(last - segment.starts[doc], pa.int32())], ["start", "end"])
     return pa.RecordBatch.from_arrays(
@@ -183,7 +188,7 @@ def _matched(segment: Segment, test: dict) -> pa.RecordBatch:
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """The test items in blocks of about ``block_bytes`` of text."""
-    items = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    items = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + total // block_bytes
     for k in range(n):

@@ -5,19 +5,18 @@ folder as Parquet and rereads them, so a lost executor costs no earlier stage. A
 columns of ``documents``.
 
 1. quality: rejects the documents that importance resampling doesn't select.
-2. near_duplicates: of each class of documents linked by Jaccard similarity, the one with the smallest doc_id stays.
+2. near_duplicates: of each class of rows linked by Jaccard similarity, the one with the smallest doc_id stays (null ids come last).
 3. decontaminate: rejects documents of which benchmark windows hit 5 % of the words or more.
 4. secrets: replaces every secret in the texts by a mark.
 5. tokens: token ids of the texts, and a check that they decode to the text.
 
-Rows that repeat a doc_id: one of them survives stage 2, that with the smallest text.
+Stages 2 to 4 tell rows apart by their place in the stored table, so rows that share a doc_id, or have none, are judged each by their own text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cairn.llm import bpe, decontaminate, jaccard, quality, secrets
 from cairn.llm.common import materialize
@@ -27,23 +26,29 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs``, read from files, with ``row``: a key of each row that doesn't depend on how scans are cut into tasks."""
+    return docs.withColumn("row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard.join_components(docs)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "keep_id"), F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("keep_id")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.octet_length("text"), "text"))
-    return kept.withColumn("copy", first).where("copy = 1").select(*docs.columns)
+    rows = keyed(docs)
+    classes = jaccard.join_components(rows, "row").select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.octet_length("text").alias("size"), "row")
+    best = rows.select("row", order.alias("order")).join(classes, "row").groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(best.select("order.row"), "row").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    rows = keyed(docs)
+    found = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
+    return rows.join(found.where("contaminated").select(F.col("doc_id").alias("row")), "row", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.scan(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("found_id"), "spans")
-    masked = docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    rows = keyed(docs)
+    found = secrets.scan(rows, "row").where(F.size("spans") > 0).select(F.col("doc_id").alias("row"), "spans")
+    masked = rows.join(found, "row", "left")
     text = F.when(F.col("spans").isNotNull(), secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
     masked = masked.withColumn("text", text).withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return masked.select(*docs.columns)

@@ -234,6 +234,26 @@ def test_pipeline(spark, sf_dir):
     assert out.count() == seen and out.where(~F.col("round_trip")).count() == 0
 
 
+def test_pipeline_keeps_distinct_texts(spark, tmp_path):
+    import corpus_pipeline as p
+    from tests.llm.conftest import prose
+
+    t = [prose(700 + k, 60) for k in range(8)]
+    key = "AKIA" + "Q7" * 8
+    rows = [(None, t[0]), (None, t[1]), (1, t[2]), (1, t[3] + " and more words"), (2, t[3] + " and more words"), (3, t[4]), (3, t[5]), (4, f"{key} {t[6]}"), (4, t[7]), (5, t[2])]
+    docs = spark.createDataFrame([(i, x, len(x)) for i, x in rows], "doc_id long, text string, n_chars long")
+    spark.createDataFrame([(None, t[4])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = p.materialize(docs, "test")
+    docs = p.materialize(p.keep_one_of_each_group(spark, docs, str(tmp_path)), "test")
+    key_of = lambda x: (x[0] is None, *x)
+    kept = sorted(((r.doc_id, r.text) for r in docs.collect()), key=key_of)
+    assert kept == sorted((x for x in rows if x not in [(5, t[2]), rows[4]]), key=key_of)
+    docs = p.materialize(p.drop_contaminated(spark, docs, str(tmp_path)), "test")
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=key_of) == [x for x in kept if x[1] != t[4]]
+    masked = p.mask_secrets(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in masked), key=key_of) == sorted(((i, x.replace(key, "[secret]")) for i, x in kept if x != t[4]), key=key_of)
+
+
 def test_queries_match_their_sql(spark, sf_dir):
     import duckdb
 

@@ -48,6 +48,13 @@ def test_decontamination(spark, docs, texts):
     assert decontaminate.contamination(docs, frame).where("contaminated").count() == sum(h > 0 and 20 * h >= n for n, h, _ in want.values())
 
 
+def test_items_without_id(spark, docs, texts):
+    items = spark.createDataFrame([(None, texts[7]), (3, texts[7]), (None, texts[8])], "item_id long, text string")
+    for block in (1 << 20, 200):
+        got = decontaminate.phrase_matches(materialize(decontaminate.build_index(docs), "postings"), items, block_bytes=block).where("doc_id in (7, 8)")
+        assert {r.doc_id: (r.hit == r.n_words, set(r["items"])) for r in got.select("doc_id", "n_words", decontaminate.covered(F.col("spans")).alias("hit"), "items").collect()} == {7: (True, {3, None}), 8: (True, {None})}
+
+
 def test_decontamination_edges(spark, docs, no_docs):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(no_docs, items).count() == 0
