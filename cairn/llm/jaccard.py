@@ -2,25 +2,28 @@
 
 A document is the set of its distinct word 5-grams (hashed to 64 bits; a shorter document is one n-gram of
 all its words). Documents link when their sets' Jaccard similarity is at least PERCENT / 100, and components
-are the classes of documents that links connect. The result is exact:
+are the classes of documents that links connect. The n-grams are cut by ranges of their hashes into ``FRAGMENTS``
+fragments, which are worked off separately. The result is exact:
 
 1. Documents with equal sets form one class; one representative goes on.
-2. All n-grams get one global order: rare ones by hash, then frequent ones by count. (N-grams that repeat
-   within a task are counted over all documents. The counts only order; any order gives the same result.)
-3. Two sets as similar as asked share an n-gram among the first ``n - ceil(t n) + 1`` of each in that order.
-   N-grams that only one prefix holds are dropped; every other one is a bucket. In each bucket, the members are
-   compared with one leader, which takes a number of pairs linear in the bucket's size.
-4. A pair is verified by fragments: the order of n-grams is cut into ``FRAGMENTS`` ranges of hashes, the overlap of
-   the two sets is counted in each range separately and the counts are summed per pair. The first
-   fragment alone excludes most unrelated pairs: their difference there exceeds what the whole pair may differ.
-5. Links give components. A bucket whose members are in one component is done. The members of other buckets are
-   compared across components, those whose sizes and parity bits allow a link: all at once where few members are outside of
-   the bucket's main component, of which a growing share is tried round by round; other buckets are first dealt out by set size, and what is
-   still large is compared with a few leaders, round after round. So copies are never expanded into all pairs, and no
-   link between components is missed.
-
-Nothing of the size of the corpus is collected or broadcast; the list of frequent n-grams is at most
-FREQUENT_LIMIT long. Hot buckets and digests meet in joins that Spark's adaptive execution can split.
+2. In the first ``PRUNING`` fragments, all documents' n-grams are counted. A set whose n-grams there are so often
+   its own that the others can't make the overlap is out; most documents are. N-grams that several sets of one
+   task hold are counted in the task and sent on once, so a frequent one is no hot key.
+3. The sets of the other classes are stored by fragment, and their n-grams are counted exactly. These counts give the
+   global order: an n-gram that no other set holds comes first, then rare ones, then frequent ones.
+4. Two sets as similar as asked share an n-gram among the first ``n - ceil(t n) + 1`` of each in that order, and
+   its place bounds what they can share in all. Sets that share such an n-gram are a bucket. In each bucket, the
+   members are compared with one leader, that of the fewest n-grams of its own.
+5. A pair is verified by fragments: the overlap of the two sets is counted in each fragment separately and the
+   counts are summed per pair. The first fragment alone excludes most unrelated pairs: their difference there exceeds
+   what the whole pair may differ.
+6. Links give components. A bucket whose members are in one component is done. In the others, a growing number of
+   members (LEADERS, then that many times more each round) is compared with all members of other components, as far as
+   sizes and places allow a link, and leaves the bucket; until no bucket holds members of two components. So copies are
+   never expanded into all pairs, and no link between components is missed.
+
+Nothing of the size of the corpus is collected or broadcast. Hot buckets and digests meet in sort-merge joins
+that Spark's adaptive execution can split.
 
 Defined cases: null, empty and blank texts have empty sets and link with nothing; repeated rows are in one class;
 rows that share a doc_id but not the text are separate sets, whose class ids are still doc_ids; an empty table
@@ -40,17 +43,14 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, Words, discard, materialize, mix, small_batches, text_views
 
 SHINGLE, PERCENT = 5, 80
-FRAGMENTS = 4
-#: An n-gram is frequent from this count on; at most so many of the most frequent are told apart.
-FREQUENT_FROM, FREQUENT_LIMIT = 16, 1 << 20
-#: N-grams that one task gathers before it counts repeats.
-GATHER = 1 << 22
-#: Buckets with up to so many members outside of their main component are compared in one join that lets only possible links out; others with so many leaders a round.
-SMALL_BUCKET, LEADERS = 1024, 64
-#: Members of a bucket's main component that are tried in the first round; 8 times as many in each further one, until all are.
-FIRST_SHARE = 8
-#: Bits of the maps that pick the texts whose sets a verification reads, and the n-grams that more than one prefix holds.
-TEXT_BITS, GRAM_BITS = 1 << 23, 1 << 25
+#: Ranges of n-gram hashes; so many of them are counted for all documents.
+FRAGMENTS, PRUNING = 8, 3
+#: N-grams that one task gathers before it sends them on, and n-grams that are counted at once.
+GATHER, PART = 1 << 22, 1 << 20
+#: Members of a bucket that are compared with the others in the first round after that of the single leader; and the factor from round to round.
+LEADERS = 8
+#: Bits of the map that picks the texts whose sets are stored.
+TEXT_BITS = 1 << 25
 
 _U = np.uint64
 
@@ -86,75 +86,113 @@ def shingle_sets(words: Words, data: np.ndarray, bounds: np.ndarray, size: int =
     return values, np.searchsorted(rows, np.arange(len(n) + 1))
 
 
-def frequent_ngrams(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, place of each in the order of counts): n-grams that repeat within tasks often enough."""
+def _digests(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digest of each set, as two int64 columns; the first is odd."""
+    raw = b"".join(hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+    both = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+    return both[:, 0] | 1, both[:, 1]
 
-    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = Words(NOT_SPACE), [], 0
 
-        def counted() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            some = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(counts[some], pa.int64())], names=["gram", "n"])
+def _fragment(values: np.ndarray) -> np.ndarray:
+    return (values >> _U(64 - (FRAGMENTS - 1).bit_length())).astype(np.int64)
 
-        for batch in batches:
-            for _, _, data, bounds in text_views(batch.column(0)):
-                values, _ = shingle_sets(words, data, bounds)
-                held.append(values)
-                size += len(values)
-                if size >= GATHER:
-                    yield counted()
-                    held, size = [], 0
-        if size:
-            yield counted()
 
-    grams = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(repeats, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = grams.where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "gram").limit(FREQUENT_LIMIT).select("gram").toArrow()
-    hashes = got["gram"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], (len(got) - np.arange(len(got)))[order]  # the most frequent come last
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    return np.where(n > 0, n - -(-PERCENT * n // 100) + 1, 0)
+def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: doc_id, n (set size), n0 (n-grams in the pruning fragments) and the digest of the whole set."""
 
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(NOT_SPACE)
+        for batch in batches:
+            for first, rows, data, bounds in text_views(batch.column(1)):
+                values, ends = shingle_sets(words, data, bounds)
+                low = np.concatenate(([0], np.cumsum(_fragment(values) < PRUNING)))[ends]
+                columns = [np.diff(ends).astype(np.int32), np.diff(low).astype(np.int32), *_digests(values, ends)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), *map(pa.array, columns)], names=["doc_id", "n", "n0", "d0", "d1"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(signed, "doc_id long, n int, n0 int, d0 long, d1 long")
+
+
+def _held_by_several(grams: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, their owner or 0 for several, owners of n-grams of several, how many of these each has). An owner 0 stands for several."""
+    order = np.argsort(grams, kind="stable")
+    grams, owners = grams[order], owners[order]
+    first = np.concatenate(([True], grams[1:] != grams[:-1]))
+    run = np.cumsum(first) - 1
+    starts = np.flatnonzero(first)
+    several = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts)
+    several |= owners[starts] == 0
+    own = np.where(several, 0, owners[starts])
+    at = several[run] & (owners != 0)
+    run, held = run[at], owners[at]
+    order = np.lexsort((held, run))
+    run, held = run[order], held[order]
+    new = np.concatenate((np.ones(min(len(run), 1), bool), (run[1:] != run[:-1]) | (held[1:] != held[:-1])))
+    return grams[starts], own, *np.unique(held[new], return_counts=True)
+
+
+def shared_counts(docs: DataFrame, text_col: str, total: int) -> DataFrame:
+    """(d0, shared): how many n-grams of the pruning fragments a set shares with another one at most. ``total``: n-grams to count, which sets how finely they are dealt out."""
+    parts = max(64, total // PART + 1)
+    span = (1 << 64) * PRUNING // FRAGMENTS
+    edges = np.array([span * k // parts for k in range(1, parts)], dtype=np.uint64)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, owners, size = Words(NOT_SPACE), [], [], 0
+
+        def sent() -> pa.RecordBatch:
+            grams, own, sets, counts = _held_by_several(np.concatenate(held), np.concatenate(owners))
+            cuts = np.concatenate(([0], np.searchsorted(grams, edges), [len(grams)]))
+            cuts = np.concatenate((cuts, [len(grams) + len(sets)])).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(x))) for x in ((grams.view(np.int64), counts), (own, sets))]
+            # what is counted already goes along with any part
+            part = np.concatenate((np.arange(parts), [int(sets[0] % parts) if len(sets) else 0])).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.arange(parts + 1) == parts), *lists], names=["part", "counted", "x", "y"])
+            return out.filter(pa.array(np.diff(cuts) > 0))
 
-def parity_bits(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each set, as two int64 columns: every n-gram flips one bit. Two sets differ in at least as many n-grams as their bits do."""
-    out = []
-    some = ends[1:] > ends[:-1]
-    flips = _U(1) << (values & _U(63))
-    for half in (0, 1):
-        word = np.zeros(len(ends) - 1, dtype=np.uint64)
-        if some.any():
-            word[some] = np.bitwise_xor.reduceat(np.where((values >> _U(6) & _U(1)) == half, flips, _U(0)), ends[:-1][some])
-        out.append(word.view(np.int64))
-    return out[0], out[1]
+        for batch in batches:
+            for _, _, data, bounds in text_views(batch.column(0)):
+                values, ends = shingle_sets(words, data, bounds)
+                low = _fragment(values) < PRUNING
+                held.append(values[low])
+                owners.append(np.repeat(_digests(values, ends)[0], np.diff(ends))[low])
+                size += len(held[-1])
+                if size >= GATHER:
+                    yield sent()
+                    held, owners, size = [], [], 0
+        if size:
+            yield sent()
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, owners = None, [], []
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per row: doc_id, n (set size), digest (of the whole set), bits (parity_bits) and prefix (the first n-grams in the global order)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_LIMIT entries
+        def result(sets: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(sets), pa.array(counts.astype(np.int64))], names=["d0", "shared"])
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (known, place) = Words(NOT_SPACE), shared.value
         for batch in batches:
-            for first, rows, data, bounds in text_views(batch.column(1)):
-                values, ends = shingle_sets(words, data, bounds)
-                n = np.diff(ends)
-                digests = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                bits = parity_bits(values, ends)
-                row = np.repeat(np.arange(rows), n)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                    late = np.where(known[at] == values, place[at], 0)
-                    # nearly sorted already, which a stable sort makes use of
-                    values = values[np.argsort(row * (len(known) + 1) + late, kind="stable")]
-                keep = np.arange(len(values)) - ends[:-1][row] < prefix_length(n)[row]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix_length(n)))), pa.int32()), pa.array(values[keep].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(bits[0]), pa.array(bits[1]), lists], names=["doc_id", "n", "digest", "bits0", "bits1", "prefix"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(signed, "doc_id long, n int, digest binary, bits0 long, bits1 long, prefix array<long>")
+            for k, done in enumerate(batch.column(1).to_pylist()):
+                x, y = (batch.column(c)[k].values.to_numpy() for c in (2, 3))
+                if done:
+                    yield result(y, x)
+                    continue
+                if batch.column(0)[k].as_py() != part and held:
+                    yield result(*_held_by_several(np.concatenate(held), np.concatenate(owners))[2:])
+                    held, owners = [], []
+                part = batch.column(0)[k].as_py()
+                held.append(x)
+                owners.append(y)
+        if held:
+            yield result(*_held_by_several(np.concatenate(held), np.concatenate(owners))[2:])
+
+    lists = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(dealt, "part int, counted boolean, x array<long>, y array<long>")
+    return lists.repartition("part").sortWithinPartitions("part").mapInArrow(counted, "d0 long, shared long").groupBy("d0").agg(F.sum("shared").alias("shared"))
+
+
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    return np.where(n > 0, n - -(-PERCENT * n // 100) + 1, 0)
 
 
 def _bitmap(values: DataFrame, bits: int) -> np.ndarray:
@@ -171,53 +209,60 @@ def _held(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> 6] >> (bit & 63).astype(np.uint64) & _U(1)).astype(bool)
 
 
-def fragments(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cid, grams, fragment): the sets of documents, cut by hash range; at least those of the wanted first_ids.
+def fragment_sets(docs: DataFrame, active: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cid, n, grams, fragment): the sets of the active classes (cid, first_id, n, d0, d1), cut into fragments.
 
-    A bitmap of fixed size keeps most texts that aren't wanted from being cut at all, and texts never move. What it lets through
-    too much finds no partner in the joins that follow."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("first_id"), TEXT_BITS))  # TEXT_BITS / 8 bytes
-    source = docs.select(F.col(id_col).cast("long").alias("first_id"), F.col(text_col).cast("string").alias("text")).select(F.pmod(F.xxhash64("first_id"), F.lit(TEXT_BITS)).alias("bit"), "text")
+    A bitmap of fixed size keeps most texts of other classes from being cut at all, and texts never move. What it lets through
+    too much finds no partner in the join."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(active.select("first_id"), TEXT_BITS))  # TEXT_BITS / 8 bytes
+    source = _texts(docs, id_col, text_col).select(F.pmod(F.xxhash64("doc_id"), F.lit(TEXT_BITS)).alias("bit"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, places = Words(NOT_SPACE), np.arange(FRAGMENTS)
+        words, seen = Words(NOT_SPACE), set()
         for batch in batches:
             batch = batch.filter(pa.array(_held(shared.value, batch.column(0).to_numpy())))
             for _, rows, data, bounds in text_views(batch.column(1)):
                 values, ends = shingle_sets(words, data, bounds)
-                digests = pa.array([hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                d0, d1 = _digests(values, ends)
                 row = np.repeat(np.arange(rows), np.diff(ends))
                 # values are sorted within a row, so fragments follow each other
-                part = row * FRAGMENTS + (values >> _U(64 - (FRAGMENTS - 1).bit_length())).astype(np.int64)
-                cuts = np.searchsorted(part, np.arange(rows * FRAGMENTS + 1))
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([digests.take(pa.array(np.repeat(np.arange(rows), FRAGMENTS))), lists, pa.array(np.tile(places, rows), pa.int32())], names=["cid", "grams", "fragment"])
+                cuts = np.searchsorted(row * FRAGMENTS + _fragment(values), np.arange(rows * FRAGMENTS + 1))
+                inner = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values.view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * FRAGMENTS, pa.int32()), inner)
+                new = np.zeros(rows, dtype=bool)
+                for k, key in enumerate(zip(d0.tolist(), d1.tolist(), strict=True)):
+                    new[k] = ends[k + 1] > ends[k] and key not in seen
+                    seen.add(key)
+                out = pa.RecordBatch.from_arrays([pa.array(d0), pa.array(d1), lists], names=["d0", "d1", "sets"])
+                yield out.filter(pa.array(new))
 
-    return source.mapInArrow(cut, "cid binary, grams array<long>, fragment int")
+    found = source.mapInArrow(cut, "d0 long, d1 long, sets array<array<long>>")
+    one = found.join(active.select("d0", "d1", "cid", "n").hint("merge"), ["d0", "d1"]).groupBy("d0", "d1").agg(F.first("cid").alias("cid"), F.first("n").alias("n"), F.first("sets").alias("sets"))
+    return one.select("cid", "n", F.posexplode("sets").alias("fragment", "grams"))
 
 
-def shared_prefixes(signed: DataFrame, grams: DataFrame) -> DataFrame:
-    """(doc_id, n, digest, bits0, bits1, prefix, places): prefixes without most n-grams that no other prefix holds, by a bitmap of fixed size over those that do."""
-    shared = signed.sparkSession.sparkContext.broadcast(_bitmap(grams.select("gram"), GRAM_BITS))  # GRAM_BITS / 8 bytes
-    source = signed.select("doc_id", "n", "digest", "bits0", "bits1", "prefix", F.transform("prefix", lambda g: F.pmod(F.xxhash64(g), F.lit(GRAM_BITS))).alias("at"))
+def prefixes(segments: DataFrame) -> DataFrame:
+    """(gram, cid, n, own, place): the first n-grams of each set in the order of counts, without those of one set only. own: n-grams that no other set holds."""
+    grams = segments.select("cid", "n", F.explode("grams").alias("gram"))
+    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = grams.join(df.hint("merge"), "gram").groupBy("cid").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "gram")).alias("held"))
+    length = F.expr(f"n - div({PERCENT} * n + 99, 100) + 1").cast("int")
+    held = held.withColumn("own", (F.col("n") - F.size("held")).cast("int")).where(length > F.col("own"))
+    first = F.slice(F.sort_array("held"), F.lit(1), length - F.col("own"))
+    return held.select("cid", "n", "own", F.posexplode(first).alias("at", "x")).select(F.col("x.gram").alias("gram"), "cid", "n", "own", (F.col("own") + F.col("at")).alias("place"))
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.diff(batch.column(5).offsets.to_numpy())
-            good = _held(shared.value, batch.column(6).flatten().to_numpy())
-            ends = np.concatenate(([0], np.cumsum(sizes)))
-            places = (np.arange(len(good)) - np.repeat(ends[:-1], sizes))[good]
-            bounds = pa.array(np.concatenate(([0], np.cumsum(good)))[ends], pa.int32())
-            lists = [pa.ListArray.from_arrays(bounds, x) for x in (batch.column(5).flatten().filter(pa.array(good)), pa.array(places, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *lists], names=["doc_id", "n", "digest", "bits0", "bits1", "prefix", "places"])
 
-    return source.mapInArrow(kept, "doc_id long, n int, digest binary, bits0 long, bits1 long, prefix array<long>, places array<int>")
+def _may_link(x: str, y: str) -> F.Column:
+    """Whether sizes and the places of a shared n-gram allow a link: n-grams before it aren't shared. If it isn't the first shared one, another bucket tells better."""
+    (na, pa_), (nb, pb) = ((F.col(f"{s}.n"), F.col(f"{s}.place")) for s in (x, y))
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * F.least(na - pa_, nb - pb) >= PERCENT * (na + nb))
 
 
-def _may_link(x: F.Column, y: F.Column) -> F.Column:
-    """Whether sizes and parity bits of two sets allow a link: the overlap is at most half of what remains of both sizes without the differing bits."""
-    both, differ = (x["n"] + y["n"]).cast("long"), F.bit_count(x["bits0"].bitwiseXOR(y["bits0"])) + F.bit_count(x["bits1"].bitwiseXOR(y["bits1"]))
-    return (100 * F.least(x["n"], y["n"]) >= PERCENT * F.greatest(x["n"], y["n"])) & ((100 + PERCENT) * (both - differ) >= 2 * PERCENT * both)
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, na, nb), the smaller class first, of two structs x and y."""
+    swap = F.col("x.cid") > F.col("y.cid")
+    pick = lambda f, flip: F.when(swap == F.lit(flip), F.col(f"x.{f}")).otherwise(F.col(f"y.{f}"))
+    return rows.select(*(pick(f, flip).alias(name + side) for side, flip in (("a", False), ("b", True)) for f, name in (("cid", ""), ("n", "n")))).distinct()
 
 
 def _needed(na: str, nb: str) -> F.Column:
@@ -227,8 +272,7 @@ def _needed(na: str, nb: str) -> F.Column:
 
 def verify(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Links among pairs (a, b, na, nb): partial overlaps counted by fragment, then summed per pair."""
-    sets = segments.dropDuplicates(["cid", "fragment"])
-    a, b = (sets.select(F.col("cid").alias(x), "fragment", F.col("grams").alias(f"g{x}")) for x in "ab")
+    a, b = (segments.select(F.col("cid").alias(x), "fragment", F.col("grams").alias(f"g{x}")) for x in "ab")
     overlap = F.size(F.array_intersect("ga", "gb"))
     first = pairs.withColumn("fragment", F.lit(0)).join(a.where("fragment = 0"), ["a", "fragment"]).join(b.where("fragment = 0"), ["b", "fragment"])
     first = first.withColumn("overlap", overlap).withColumn("differ", F.size("ga") + F.size("gb") - 2 * F.col("overlap"))
@@ -238,7 +282,9 @@ def verify(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     rest = rest.join(a.where("fragment > 0"), ["a", "fragment"]).join(b.where("fragment > 0"), ["b", "fragment"]).select("a", "b", overlap.alias("overlap"))
     total = first.unionByName(rest.withColumns({"na": F.lit(None).cast("int"), "nb": F.lit(None).cast("int")}), allowMissingColumns=True)
     total = total.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap"))
-    return total.where((100 + PERCENT) * F.col("overlap") >= _needed("na", "nb")).select("a", "b")
+    links = materialize(total.where((100 + PERCENT) * F.col("overlap") >= _needed("na", "nb")).select("a", "b"), "links")
+    discard(first)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,93 +310,53 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("cid"), F.col("v").alias("component")).unionByName(tops.select("cid", F.col("cid").alias("component")))
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) for which the places of a shared n-gram allow a link. rows: a, b, na, nb, pa, pb."""
-    # the first shared n-gram leaves the most behind it, so the largest bound is that of the pair
-    bound = F.max(1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1)
-    pairs = rows.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), bound.alias("bound"))
-    return pairs.where((100 + PERCENT) * F.col("bound") >= _needed("na", "nb")).drop("bound")
-
-
-def _ordered(x: str, y: str) -> list:
-    """Columns of a pair from two structs with cid, n and place, the smaller class first."""
-    swap = F.col(f"{x}.cid") > F.col(f"{y}.cid")
-    pick = lambda f, flip: F.when(swap == F.lit(flip), F.col(f"{x}.{f}")).otherwise(F.col(f"{y}.{f}"))
-    return [pick(f, flip).alias(name + side) for side, flip in (("a", False), ("b", True)) for f, name in (("cid", ""), ("n", "n"), ("place", "p"))]
-
-
-def _band(n: str) -> F.Column:
-    """Sizes that differ by a factor of at most 100 / PERCENT are in the same band or in neighbouring ones (0.999 covers rounding)."""
-    return F.floor(0.999 * F.log(F.col(n).cast("double")) / float(np.log(100 / PERCENT)))
-
-
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach). Classes go by the digest of their set."""
     small_batches(docs.sparkSession)
-    signed = materialize(signatures(docs, id_col, text_col, frequent_ngrams(docs, text_col)), "signatures")
-    classes = materialize(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")), "classes")
-    twice = materialize(signed.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
-    one_each = classes.select(F.col("digest").alias("cid"), "first_id")
-    reps = shared_prefixes(signed, twice).join(one_each, (F.col("digest") == F.col("cid")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["digest", "doc_id"])
-    grams = reps.select("cid", "n", "bits0", "bits1", F.explode(F.arrays_zip("prefix", "places")).alias("x")).select(F.col("x.prefix").alias("gram"), F.struct("cid", "n", F.col("x.places").alias("place"), "bits0", "bits1").alias("me"))
-    grams = materialize(grams.join(twice.select("gram"), "gram"), "prefixes")
-    buckets = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min("me").alias("leader")).where("members > 1")
-    shared = materialize(grams.join(buckets, "gram").select("gram", "members", "leader", "me"), "buckets")
-    rows = materialize(signed.select("doc_id", "n", "digest"), "rows")
-    discard(signed, twice, grams)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        segments = materialize(fragments(docs, one_each.join(ends, "cid"), id_col, text_col), "segments", "fragment")
-        out = materialize(verify(pairs, segments), "links")
-        discard(segments)
-        return out
-
-    pairs = materialize(_candidates(shared.where((F.col("me.cid") != F.col("leader.cid")) & _may_link(F.col("me"), F.col("leader"))).select(*_ordered("leader", "me"))), "pairs")
-    links, tried, open_rows, turn = linked(pairs), pairs, shared.drop("members", "leader"), 0
-    done = [shared, pairs, links]
+    signed = materialize(signatures(docs, id_col, text_col), "signatures")
+    classes = signed.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("n0").alias("n0"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    total = signed.agg(F.sum("n0")).first()[0] or 0
+    counts = shared_counts(docs, text_col, total)
+    active = classes.join(counts, "d0", "left").where(100 * (F.col("n") - F.col("n0") + F.least(F.col("n0"), F.coalesce("shared", F.lit(0)))) >= PERCENT * F.col("n"))
+    active = materialize(active.select("cid", "first_id", "n", "d0", "d1"), "active")
+    segments = materialize(fragment_sets(docs, active, id_col, text_col), "segments", "fragment")
+    found = materialize(prefixes(segments), "prefixes")
+    buckets = found.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "cid", "n", "place")).alias("x")).where("members > 1")
+    led = found.join(buckets.select("gram", "x").hint("merge"), "gram").select("gram", F.struct("cid", "n", "place").alias("y"), "x")
+    open_rows = materialize(led.select("gram", "y.*"), "buckets")
+    pairs = materialize(_pairs(led.where((F.col("x.cid") != F.col("y.cid")) & _may_link("x", "y"))), "pairs")
+    links = verify(pairs, segments)
     labels = materialize(components(links), "labels")
+    tried, quota = pairs, LEADERS
+    discard(active, found)
     while True:
-        named = open_rows.withColumn("cid", F.col("me.cid")).join(labels, "cid", "left").select("gram", "me", F.coalesce("component", "cid").alias("component"))
-        mixed = named.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "me").alias("main"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
-        rest = materialize(named.join(mixed.select("gram", "main", "members"), "gram"), "mixed")
-        done.append(rest)
+        named = open_rows.join(labels, "cid", "left").select("gram", "cid", "n", "place", F.coalesce("component", "cid").alias("component"))
+        mixed = named.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
+        rest = materialize(named.join(mixed.select("gram", "members").hint("merge"), "gram"), "mixed")
+        discard(open_rows)
         if rest.isEmpty():
             break
-        # every pair across components has an end outside of the main one; of the main one, a share that grows from round to round is tried,
-        # since one link is enough to join it
-        sized = rest.join(rest.where("component <> main").groupBy("gram").agg(F.count(F.lit(1)).alias("outsiders")), "gram")
-        inner, inside, quota = F.col("component") == F.col("main"), F.col("members") - F.col("outsiders"), min(FIRST_SHARE * 8**turn, 1 << 40)
-        taken = ~inner | (F.pmod(F.xxhash64("me.cid"), F.lit(1 << 20)) * inside < F.lit(quota << 20))
-        fit = sized.where(F.col("outsiders") <= SMALL_BUCKET)
-        few = fit.where(~inner).select("gram", F.col("me").alias("x"), F.col("component").alias("cx"))
-        all_of = fit.where(taken).select("gram", F.col("me").alias("y"), F.col("component").alias("cy"), inner.alias("inner"))
-        across = all_of.join(few, "gram").where((F.col("cx") != F.col("cy")) & (F.col("inner") | (F.col("x.cid") < F.col("y.cid"))) & _may_link(F.col("x"), F.col("y"))).select(*_ordered("x", "y"))
-        large = sized.where(F.col("outsiders") > SMALL_BUCKET)
-        if turn == 0:  # large buckets are first dealt out by size: sets that link are in the same band or in neighbouring ones
-            banded = large.select("gram", "me", F.explode(F.array(_band("me.n"), _band("me.n") - 1)).alias("band"))
-            open_rows = banded.select(F.xxhash64("gram", "band").alias("gram"), "me")
-        else:
-            slot = F.pmod(F.xxhash64("me.cid", F.lit(turn)), F.lit(LEADERS))
-            leaders = large.groupBy("gram", slot.alias("slot")).agg(F.min_by(F.struct("me", "component"), F.xxhash64("me.cid", F.lit(-turn))).alias("leader")).groupBy("gram").agg(F.collect_list("leader").alias("leaders"))
-            led = large.join(leaders, "gram")
-            near = F.filter("leaders", lambda x: (x["component"] != F.col("component")) & _may_link(x["me"], F.col("me")))
-            both = led.select(F.col("me").alias("y"), F.explode(near).alias("leader")).select(F.col("leader.me").alias("x"), "y")
-            across = across.unionByName(both.select(*_ordered("x", "y")))
-            open_rows = led.where(~F.exists("leaders", lambda x: x["me"]["cid"] == F.col("me.cid"))).select("gram", "me")
-        open_rows = open_rows.unionByName(fit.where(inside > quota).select("gram", "me"))
-        new = materialize(_candidates(across).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        # about ``quota`` members of each bucket, the same ones wherever they are, and all of a smaller bucket
+        leads = F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) * F.col("members") < F.lit(quota << 20)
+        me = F.struct("cid", "n", "place", "component", leads.alias("leads"))
+        x, y = rest.where(leads).select("gram", me.alias("x")), rest.select("gram", me.alias("y"))
+        across = (F.col("x.component") != F.col("y.component")) & (~F.col("y.leads") | (F.col("x.cid") < F.col("y.cid"))) & _may_link("x", "y")
+        new = materialize(_pairs(y.join(x.hint("merge"), "gram").where(across)).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        open_rows = materialize(rest.where(~leads).select("gram", "cid", "n", "place"), "buckets")
+        discard(rest)
         if not new.isEmpty():
-            links = materialize(links.unionByName(linked(new)), "links")
-            done += [new, links, labels]
+            more, old = verify(new, segments), (links, labels, tried)
+            links = materialize(links.unionByName(more), "links")
+            tried = materialize(tried.unionByName(new), "pairs")
             labels = materialize(components(links), "labels")
-            tried = tried.select("a", "b").unionByName(new.select("a", "b"))
-        turn += 1
-    discard(*done)
-    named = one_each.join(labels, "cid", "left").select(F.col("cid").alias("digest"), "first_id", F.coalesce("component", "cid").alias("component"))
+            discard(more, new, *old)
+        quota *= LEADERS
+    discard(rest, segments, links, tried)
+    named = classes.join(labels, "cid", "left").select("d0", "d1", "first_id", F.coalesce("component", "cid").alias("component"))
     tops = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classed = named.join(tops, "component").select("digest", "component_id")
-    out = rows.join(classed, "digest", "left")
+    classed = named.join(tops, "component").select("d0", "d1", "component_id")
+    out = signed.join(classed.hint("merge"), ["d0", "d1"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

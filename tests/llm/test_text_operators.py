@@ -146,8 +146,8 @@ def brute_components(texts):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("small", [1024, 2])
-def test_jaccard(spark, texts, small, monkeypatch):
+@pytest.mark.parametrize("leaders", [8, 2])
+def test_jaccard(spark, texts, leaders, monkeypatch):
     from tests.llm.conftest import prose
 
     rng = random.Random(5)
@@ -160,8 +160,13 @@ def test_jaccard(spark, texts, small, monkeypatch):
                 w[rng.randrange(len(w))] = f"edit{seed}-{step}"
     passage = prose(300, 25)
     more += [f"{passage} own{k} words{k} here{k}" for k in range(12)]
-    monkeypatch.setattr(jaccard, "SMALL_BUCKET", small)
-    monkeypatch.setattr(jaccard, "LEADERS", 2)
+    base = prose(400, 100).split()
+    for k in range(60):  # a ball of near copies, of which many pairs are too far apart
+        w = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(len(w))] = f"ball{k}"
+        more.append(" ".join(w))
+    monkeypatch.setattr(jaccard, "LEADERS", leaders)
     frame = spark.createDataFrame(list(enumerate(more)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(frame).collect()}
     assert got == brute_components(more)
