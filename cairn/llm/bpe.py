@@ -6,8 +6,8 @@ add up to a word's rank, which addresses its ids in a flat table. The whole lexi
 integers that Spark ships to the executors once and the workers memory-map. Words that the lexicon does
 not hold are merged exactly, pair by pair in merge order, so the ids never depend on what the lexicon holds.
 
-The lexicon has at most ``size`` words of at most 64 bytes each: what reaches the driver is bounded by
-that, whatever the size of the corpus. The counts cover all rows.
+The lexicon has at most ``size`` words of at most 64 bytes each. The least frequent of them is found by histograms
+in the cluster, so no more words than that reach the driver, whatever the size of the corpus. The counts cover all rows.
 
 Defined cases: null and empty texts have no ids and decode to an empty text; repeated rows are encoded
 row by row; an empty table gives an empty lexicon and no rows; texts of any length are encoded whole (long
@@ -18,9 +18,8 @@ new column must be free.
 from __future__ import annotations
 
 import heapq
+import io
 import json
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import small_batches, text_views
+from .common import discard, kth_largest, materialize, shared_dir, small_batches, text_views, write_bytes
 
 #: Fixed value: how this vocabulary's pre-tokens are cut.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -406,19 +405,22 @@ def count_pre_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def fit_lexicon(docs: DataFrame, vocabulary_path: str, size: int = LEXICON_WORDS, text_col: str = "text") -> Codec:
-    """Compile the ``size`` most frequent pre-tokens (ties by word) and ship the automaton and the vocabulary file."""
+    """Compile the ``size`` most frequent pre-tokens (ties by hash) and ship the automaton and the vocabulary file through the shared folder."""
     spark = docs.sparkSession
     small_batches(spark)
-    frequent = [r[0].encode() for r in count_pre_tokens(docs, text_col).orderBy(F.desc("n"), "word").limit(size).collect()]
-    vocabulary = Vocabulary(vocabulary_path)
-    folder, name = tempfile.mkdtemp(prefix="cairn-lexicon-"), uuid.uuid4().hex
-    lexicon, copy = os.path.join(folder, f"lexicon-{name}.npy"), os.path.join(folder, f"vocabulary-{name}.json")
-    np.save(lexicon, Transducer.compile({w: vocabulary.merge(w) for w in frequent}))
-    with open(vocabulary_path, "rb") as src, open(copy, "wb") as dst:
-        dst.write(src.read())
-    spark.sparkContext.addFile(lexicon)
-    spark.sparkContext.addFile(copy)
-    return Codec(os.path.basename(lexicon), os.path.basename(copy), len(frequent))
+    # words of the same count go by a hash; the least key is found in the cluster, so no more than ``size`` words leave it
+    share = F.shiftrightunsigned(F.xxhash64("word"), 11).cast("double") / float(1 << 53)
+    counts = materialize(count_pre_tokens(docs, text_col).select("word", (F.col("n") + share).alias("key")), "pre-tokens")
+    least = kth_largest(counts, size)
+    frequent = sorted(r[0].encode() for r in counts.where(F.col("key") >= least).select("word").collect())
+    discard(counts)
+    vocabulary, name, compiled = Vocabulary(vocabulary_path), uuid.uuid4().hex, io.BytesIO()
+    np.save(compiled, Transducer.compile({w: vocabulary.merge(w) for w in frequent}))
+    with open(vocabulary_path, "rb") as f:
+        files = {f"lexicon-{name}.npy": compiled.getvalue(), f"vocabulary-{name}.json": f.read()}
+    for file, content in files.items():
+        spark.sparkContext.addFile(write_bytes(spark, f"{shared_dir(spark)}/{file}", content))
+    return Codec(*files, len(frequent))
 
 
 def encode(df: DataFrame, codec: Codec, text_col: str = "text", out_col: str = "ids") -> DataFrame:

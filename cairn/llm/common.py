@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handled at once by the vectorised code; one longer document is still handled whole.
 SLICE_BYTES = 1 << 20
@@ -41,10 +42,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local run (tests) makes one; a cluster needs it set."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     import tempfile
 
     made = "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
@@ -77,6 +80,41 @@ def discard(*frames: DataFrame | None) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
+    """Write a small file to the shared folder."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(jpath, True)
+    out.write(data)
+    out.close()
+    return path
+
+
+def kth_largest(keys: DataFrame, k: int, bins: int = 1024, few: int = 4096) -> float:
+    """The k-th largest of a column ``key``, by histograms over ever smaller ranges; the smallest if there are fewer."""
+    if k <= 0:
+        return float("inf")
+    lo, hi, above = *keys.agg(F.min("key"), F.max("key")).first(), 0
+    if lo is None:
+        return float("inf")
+    while True:
+        inside = keys.where(F.col("key").between(lo, hi))
+        width = (hi - lo) / bins
+        if width <= 0 or lo + width == lo:
+            return lo
+        place = F.least(F.lit(bins - 1), F.floor((F.col("key") - lo) / width)).cast("int").alias("bin")
+        rows = sorted(inside.groupBy(place).agg(F.count(F.lit(1)), F.min("key"), F.max("key")).collect(), reverse=True)
+        for _, n, low, high in rows:
+            if above + n >= k:
+                lo, hi = low, high
+                break
+            above += n
+        else:
+            return lo
+        if n <= few:
+            values = sorted((r[0] for r in keys.where(F.col("key").between(lo, hi)).select("key").collect()), reverse=True)
+            return values[k - above - 1]
+
+
 def text_views(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into row ranges of about ``max_bytes``.
 

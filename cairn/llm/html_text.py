@@ -4,12 +4,17 @@ A page is cut into blocks of text. The first pass decides blocks by their place
 sidebars, notices, adverts, forms, comments), link density, length and stop-word density into *good*, *bad*
 and *ambiguous* (too short, or too few stop words to tell). In the second pass an ambiguous block takes the
 label of the nearest decided block of the same scope; between a good and a bad one at equal distance the
-good one wins inside the article. The scope is the page's ``<article>`` or ``<main>`` with the most text, if it
-has one, else the body; blocks outside of the scope are bad.
+good one wins inside the article. The scope is the page's outermost ``<article>`` or ``<main>`` with the most text and
+those of at least half its text, if it has one, else the body; blocks outside of the scope are bad. Where a third of the text of a
+``<main>`` or more stands in articles inside of it, what follows the first of these outside of them must pass by its own density.
+
+Names of classes and ids mark places as bad. Those in WEAK_NAME may also name parts of an article: there they are evidence
+for the first pass only, so that a block with the density of prose stays. On a page whose blocks hold next to no
+known stop words (another language), length and links decide alone.
 
 Texts are whole: character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined by one newline, and nothing else is dropped or cut. The parser is a single forward
-scan, linear in the page's length.
+scan, linear in the page's length and at any depth of nesting.
 
 Defined cases: null or empty html gives an empty text; text outside of any element is a block of the
 body; repeated rows are extracted row by row; an empty table gives no rows. Other columns are not read.
@@ -19,8 +24,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +43,7 @@ STOP_WORDS = frozenset(
 # Fixed element lists.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea title iframe svg math object audio video canvas select xmp noembed noframes".split())
+RAW_TAGS = frozenset("script style noscript template textarea title iframe svg object audio video canvas select noembed noframes".split())
 BAD_TAGS = frozenset("nav footer aside form button menu dialog label fieldset head".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar tablist".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
@@ -47,6 +54,8 @@ BAD_NAME = re.compile(
     r"pagination|pager|toolbar|topbar|skip\w*|copyright|legal|disclaimer|outbrain|taboola|toc|tags?|tagcloud|meta|byline-share|paywall|search\w*|form)(?:$|[-_\s\d])",
     re.I,
 )
+#: Those that parts of an article carry as well.
+WEAK_NAME = re.compile(r"(?:^|[-_\s])(?:tags?|meta|side|header|legal|warning|alerts?|search\w*|form|copyright|toc|discussion|reply|replies|respond)(?:$|[-_\s\d])", re.I)
 KEEP_NAME = re.compile(r"(?:^|[-_\s])(?:article|post|entry|main|story)[-_]?(?:body|content|text|main)(?:$|[-_\s])", re.I)
 TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""\s*/*([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']*))?""")
@@ -54,6 +63,9 @@ SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
 
 SHORT, LONG, LINKS, FEW_STOPS, MANY_STOPS = 70, 200, 0.5, 0.12, 0.2
+#: A page with a smaller share of known stop words is in a language that the list doesn't hold.
+KNOWN_LANGUAGE = 0.06
+SENTENCE_END = ".!?…:;。！？।؟\"'”»)"
 
 
 @dataclass
@@ -61,39 +73,63 @@ class Block:
     text: str
     links: int  # characters inside links
     bad_place: bool
-    scope: int  # number of the innermost article or main, 0 for the body
+    scope: int  # number of the outermost article or main, 0 for the body
     heading: bool
+    weak: bool = False  # a name in WEAK_NAME inside of the scope
+    inner: bool = False  # in an article inside of the scope
     label: str = ""
 
 
+@dataclass(frozen=True)
+class Place:
+    """An open element, with what it hands down to those inside."""
+
+    tag: str = ""
+    bad: bool = False
+    scope: int = 0
+    heading: bool = False
+    link: bool = False
+    weak: bool = False
+    inner: bool = False
+
+
+@lru_cache(256)
+def _close(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I)
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, without those of no text."""
     out: list[Block] = []
-    # an open element: tag, bad place, scope, heading, link
-    stack: list[tuple[str, bool, int, bool, bool]] = [("", False, 0, False, False)]
+    stack, open_tags = [Place()], Counter()  # open_tags: how often each tag is on the stack
     pieces: list[str] = []
     links = scopes = breaks = 0
-    where = stack[0]
+    blank, where = True, stack[0]
 
     def end_block() -> None:
-        nonlocal links
+        nonlocal links, blank
         text = SPACE.sub(" ", "".join(pieces)).strip()
         if text:
-            out.append(Block(text, links, where[1], where[2], where[3]))
+            out.append(Block(text, links, where.bad, where.scope, where.heading, where.weak, where.inner))
         pieces.clear()
-        links = 0
+        links, blank = 0, True
 
     def add(text: str) -> None:
-        nonlocal links, where, breaks
+        nonlocal links, where, breaks, blank
         text = html.unescape(text)
         if text and not text.isspace():
             breaks = 0
-            if not pieces or not any(x.strip() for x in pieces):
-                where = stack[-1]
-            if stack[-1][4]:
+            if blank:
+                where, blank = stack[-1], False
+            if stack[-1].link:
                 links += len(text)
         pieces.append(text)
 
+    def close_to(k: int) -> None:
+        for x in stack[k:]:
+            open_tags[x.tag] -= 1
+        del stack[k:]
+
     at, size = 0, len(page)
     while at < size:
         lt = page.find("<", at)
@@ -136,13 +172,11 @@ def blocks(page: str) -> list[Block]:
                 end_block()
             elif tag in ("td", "th"):
                 pieces.append(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                close_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag in RAW_TAGS:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I).search(page, at)
+            close = _close(tag).search(page, at)
             at = size if not close else page.find(">", close.end()) + 1 or size
             continue
         if tag == "br":
@@ -153,51 +187,63 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:
             end_block()
-            while len(stack) > 1 and (stack[-1][0] in CLOSED_BY_BLOCK or tag == stack[-1][0] and tag in ("li", "dd", "dt", "tr")):
-                stack.pop()
-            for k in range(len(stack) - 1, 0, -1):  # an open paragraph ends, with what it left open
-                if stack[k][0] in CLOSED_BY_BLOCK:
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK_TAGS:
-                    break
+            while len(stack) > 1 and (stack[-1].tag in CLOSED_BY_BLOCK or tag == stack[-1].tag and tag in ("li", "dd", "dt", "tr")):
+                close_to(len(stack) - 1)
+            if any(open_tags[x] for x in CLOSED_BY_BLOCK):  # an open paragraph ends, with what it left open: every block ends it, so no block is between
+                close_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in CLOSED_BY_BLOCK))
         elif tag in ("td", "th"):
             pieces.append(" ")
         if tag in VOID_TAGS:
             continue
-        _, bad, scope, heading, link = stack[-1]
-        if tag in ("article", "main") and not bad and not BAD_NAME.search(names):
-            scopes += 1
-            scope = scopes
-        named = bool(names and BAD_NAME.search(names) and not KEEP_NAME.search(names)) and tag not in ("html", "body")
-        bad = bad or tag in BAD_TAGS or tag == "header" and not scope or role in BAD_ROLES or named or hidden
-        stack.append((tag, bad, scope, heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), link or tag == "a"))
-        if len(stack) > 2000:  # a page that never closes anything
-            del stack[1:1000]
+        up = stack[-1]
+        scope, inner = up.scope, up.inner
+        named = bool(names and tag not in ("html", "body") and BAD_NAME.search(names) and not KEEP_NAME.search(names))
+        weak = named and bool(scope) and not BAD_NAME.search(WEAK_NAME.sub(" ", WEAK_NAME.sub(" ", names)))
+        if tag in ("article", "main") and not up.bad and not named:
+            if not scope:
+                scopes += 1
+                scope = scopes
+            else:
+                inner = True
+        bad = up.bad or tag in BAD_TAGS or tag == "header" and not scope or role in BAD_ROLES or named and not weak or hidden
+        stack.append(Place(tag, bad, scope, up.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), up.link or tag == "a", up.weak or weak, inner))
+        open_tags[tag] += 1
     end_block()
     return out
 
 
 def classify(found: list[Block]) -> list[Block]:
     """Both passes; returns the good blocks."""
-    sizes: dict[int, int] = {}
+    sizes, inner = Counter(), Counter()
     for b in found:
         if not b.bad_place and b.scope:
-            sizes[b.scope] = sizes.get(b.scope, 0) + len(b.text)
-    scope = max(sizes, key=lambda s: (sizes[s], -s)) if sizes else 0
-    inside = bool(scope)
+            sizes[b.scope] += len(b.text)
+            inner[b.scope] += len(b.text) if b.inner else 0
+    chosen = {s for s, n in sizes.items() if 2 * n >= max(sizes.values())}
+    outside = {s for s in chosen if 3 * inner[s] >= sizes[s]}  # scopes whose text stands in articles inside of them
+    inside, seen = bool(chosen), set()
+    counts = []
     for b in found:
         words = [w.lower() for w in WORD.findall(b.text)]
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.bad_place or inside and b.scope != scope or b.links > LINKS * len(b.text):
+        counts.append((sum(w in STOP_WORDS for w in words), len(words)))
+    in_place = [c for b, c in zip(found, counts, strict=True) if not b.bad_place]
+    known = sum(s for s, _ in in_place) >= KNOWN_LANGUAGE * sum(n for _, n in in_place)
+    for b, (n_stops, n_words) in zip(found, counts, strict=True):
+        stops = n_stops / n_words if n_words else 0.0
+        prose = len(b.text) >= SHORT and (stops >= MANY_STOPS if known else len(b.text) >= LONG or b.text[-1] in SENTENCE_END)
+        if b.inner:
+            seen.add(b.scope)
+        if b.bad_place or inside and b.scope not in chosen or b.links > LINKS * len(b.text):
             b.label = "bad"
+        elif b.weak or b.scope in outside and b.scope in seen and not b.inner:
+            b.label = "good" if prose else "" if b.weak and b.heading else "bad"
         elif b.heading or len(b.text) < SHORT:
             b.label = ""
-        elif stops >= MANY_STOPS or stops >= FEW_STOPS and len(b.text) >= LONG:
+        elif prose or stops >= FEW_STOPS and len(b.text) >= LONG:
             b.label = "good"
-        elif stops < FEW_STOPS and not inside and len(b.text) < LONG:
+        elif known and stops < FEW_STOPS and not inside and len(b.text) < LONG:
             b.label = "bad"
-    near = [b for b in found if not inside or b.scope == scope and not b.bad_place]
+    near = [b for b in found if not inside or b.scope in chosen and not b.bad_place]
     far = len(near) + 1
     left, right = [(far, "")] * len(near), [(far, "")] * len(near)
     for order, into in ((range(len(near)), left), (range(len(near) - 1, -1, -1), right)):

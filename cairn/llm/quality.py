@@ -17,7 +17,7 @@ label, those with the smallest hashes; so their ids can be broadcast. Models hav
 Defined cases: null and empty texts have no n-grams and weight 0; documents with equal keys (repeated rows) are
 selected or rejected together; without labels of one kind all documents are selected; labels of unknown or null
 documents are ignored, and of contradicting labels the smallest counts; an empty table gives no rows. Extra
-columns are carried by ``select`` and not read otherwise.
+columns are carried by ``select`` and not read otherwise, whatever their names (those of N_GRAMS, LOG_WEIGHT and KEY are reserved).
 """
 
 from __future__ import annotations
@@ -31,9 +31,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import WORD_PUNCT, Words, materialize, mix, text_views
+from .common import WORD_PUNCT, Words, discard, kth_largest, materialize, mix, text_views
 
 BITS, LABELLED, SEED = 14, 20_000, 20240607
+#: Added columns, whose names no other column may have.
+N_GRAMS, LOG_WEIGHT, KEY = "__cairn_n_grams", "__cairn_log_weight", "__cairn_key"
 _U = np.uint64
 
 
@@ -72,7 +74,7 @@ class Model:
     threshold: float
 
     def weigh(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``docs`` with n_grams and log_weight."""
+        """``docs`` with N_GRAMS and LOG_WEIGHT."""
         at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(self.ratio)
 
         def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +85,9 @@ class Model:
                     n = np.bincount(row, minlength=rows)
                     weight = np.bincount(row, weights=shared.value[bucket], minlength=rows)
                     part = batch.slice(first, rows)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(weight, pa.float64())], names=[*part.schema.names, "n_grams", "log_weight"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(weight, pa.float64())], names=[*part.schema.names, N_GRAMS, LOG_WEIGHT])
 
-        return docs.mapInArrow(weighed, StructType([*docs.schema.fields, StructField("n_grams", LongType()), StructField("log_weight", DoubleType())]))
+        return docs.mapInArrow(weighed, StructType([*docs.schema.fields, StructField(N_GRAMS, LongType()), StructField(LOG_WEIGHT, DoubleType())]))
 
 
 def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
@@ -109,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     raw, target = bucket_counts(docs, text_col), bucket_counts(known.where("__quality = 1"), "text")
     log = lambda c: np.log((c + 1.0) / (c.sum() + len(c)))
     model = Model(log(target) - log(raw), -np.inf)
-    weights = model.weigh(known, "text").select("__quality", "log_weight").collect()
+    weights = model.weigh(known, "text").select("__quality", LOG_WEIGHT).collect()
+    discard(known)
     by = {q: np.array([w for x, w in weights if x == q]) for q in (1, 0)}
     model.threshold = best_threshold(by[1], by[0])
     return model
@@ -121,46 +124,24 @@ def gumbel(doc_id: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def kth_largest(keys: DataFrame, k: int, bins: int = 1024, few: int = 4096) -> float:
-    """The k-th largest of a column ``key``, by histograms over ever smaller ranges."""
-    if k <= 0:
-        return float("inf")
-    lo, hi, above = *keys.agg(F.min("key"), F.max("key")).first(), 0
-    while True:
-        inside = keys.where(F.col("key").between(lo, hi))
-        width = (hi - lo) / bins
-        if width <= 0 or lo + width == lo:
-            return lo
-        place = F.least(F.lit(bins - 1), F.floor((F.col("key") - lo) / width)).cast("int").alias("bin")
-        rows = sorted(inside.groupBy(place).agg(F.count(F.lit(1)), F.min("key"), F.max("key")).collect(), reverse=True)
-        for _, n, low, high in rows:
-            if above + n >= k:
-                lo, hi = low, high
-                break
-            above += n
-        else:
-            return lo
-        if n <= few:
-            values = sorted((r[0] for r in keys.where(F.col("key").between(lo, hi)).select("key").collect()), reverse=True)
-            return values[k - above - 1]
-
-
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
-    """(``docs`` with n_grams, log_weight and key; the cutoff): rows with key >= cutoff are selected."""
+    """(``docs`` with N_GRAMS, LOG_WEIGHT and KEY; the cutoff): rows with KEY >= cutoff are selected."""
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     model = fit(docs, labels, id_col, text_col)
-    keyed = lambda df: model.weigh(df, text_col).withColumn("key", F.col("log_weight") + gumbel(F.col(id_col)))
-    keys = materialize(keyed(docs.select(id_col, text_col)).select("log_weight", "key"), "keys")
-    k = keys.where(F.col("log_weight") >= model.threshold).count()
-    return keyed(docs), kth_largest(keys, k)
+    keyed = lambda df: model.weigh(df, text_col).withColumn(KEY, F.col(LOG_WEIGHT) + gumbel(F.col(id_col)))
+    keys = materialize(keyed(docs.select(id_col, text_col)).select(F.col(LOG_WEIGHT).alias("weight"), F.col(KEY).alias("key")), "keys")
+    cutoff = kth_largest(keys, keys.where(F.col("weight") >= model.threshold).count())
+    discard(keys)
+    return keyed(docs), cutoff
 
 
 def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The selected rows of ``docs``, with their columns."""
     keyed, cutoff = resample(docs, labels, id_col, text_col)
-    return keyed.where(F.col("key") >= cutoff).select(*docs.columns)
+    return keyed.where(F.col(KEY) >= cutoff).select(*docs.columns)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     keyed, cutoff = resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return keyed.select("doc_id", "n_grams", "log_weight", (F.col("key") >= cutoff).alias("selected"))
+    return keyed.select("doc_id", F.col(N_GRAMS).alias("n_grams"), F.col(LOG_WEIGHT).alias("log_weight"), (F.col(KEY) >= cutoff).alias("selected"))

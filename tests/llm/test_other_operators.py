@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -16,9 +17,9 @@ def test_quality(spark, sf_dir, no_docs):
     rows = keyed.collect()
     assert len(rows) == docs.count()
     model = quality.fit(docs, labels)
-    wanted = sum(r.log_weight >= model.threshold for r in rows)
-    assert sorted((r.key for r in rows), reverse=True)[wanted - 1] == cutoff and sum(r.key >= cutoff for r in rows) == wanted
-    by = {r.doc_id: r.key >= cutoff for r in rows}
+    wanted = sum(r[quality.LOG_WEIGHT] >= model.threshold for r in rows)
+    assert sorted((r[quality.KEY] for r in rows), reverse=True)[wanted - 1] == cutoff and sum(r[quality.KEY] >= cutoff for r in rows) == wanted
+    by = {r.doc_id: r[quality.KEY] >= cutoff for r in rows}
     judged = [(r.quality, by[r.doc_id]) for r in labels.collect() if r.doc_id in by]
     assert np.mean([k for q, k in judged if q == 1]) > 0.85 and np.mean([k for q, k in judged if q == 0]) < 0.15
     assert quality.select(no_docs, labels).count() == 0
@@ -26,6 +27,42 @@ def test_quality(spark, sf_dir, no_docs):
     assert quality.select(docs, none).count() == docs.count()
 
 
+def test_quality_against_brute_force(spark, texts):
+    """Weights from n-gram counts in plain Python; the hash is that of the operator, word by word."""
+    from cairn.llm.common import WORD_PUNCT, Words, mix
+
+    words = Words(WORD_PUNCT, fold=False)
+    bits = 64 - quality.BITS
+
+    def bag(text):
+        parts = [m.encode() for m in re.findall("[0-9A-Za-z_\u0080-\U0010ffff]+|[!-/:-@\\[-^`{-~]+", text or "")]
+        h = [int(words.hashes(np.frombuffer(p, np.uint8), np.array([0]), np.array([len(p)]))[0]) for p in parts]
+        out = [x >> bits for x in h]
+        for a, b in zip(h[:-1], h[1:]):
+            out.append((0x5555 << 48) >> bits if a == b else int(mix(np.array([(a * 0xD1342543DE82EF95 + b) % 2**64], np.uint64))[0]) >> bits)
+        return out
+
+    rows = [(i, t, "x", 1.0) for i, t in enumerate(texts)] + [(3, texts[3], "x", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, log_weight double").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(5, 15)] + [(6, 0, 0), (None, 1, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    quality_of = {i: int(i % 3 > 0) for i in range(5, 15)} | {6: 0}
+    raw, target = np.ones(1 << quality.BITS), np.ones(1 << quality.BITS)
+    for i, t, _, _ in rows:
+        for b in bag(t):
+            raw[b] += 1
+            target[b] += quality_of.get(i) == 1
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    keyed, cutoff = quality.resample(docs, labels)
+    got = keyed.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        b = bag(texts[r.doc_id])
+        assert r[quality.N_GRAMS] == len(b) and r[quality.LOG_WEIGHT] == pytest.approx(ratio[b].sum() if b else 0, abs=1e-6)
+        assert (r.key, r.log_weight) == ("x", 1.0)  # carried, though the names are like those of the operator
+    kept = quality.select(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r[quality.KEY] >= cutoff for r in got)
+
+
 def test_quality_held_out():
     from cairn.llm.quality import best_threshold
 
@@ -196,6 +233,64 @@ def test_main_text(spark):
     assert {r.page_id: r.text for r in html_text.extract(frame).collect()} == {1: "\n".join(want), 2: ""}
 
 
+def prose_block(k):
+    return f"This is paragraph number {k} of the story, and it is long enough to be decided by the share of words that are frequent in it."
+
+
+def test_main_text_scopes_and_names():
+    p = [f"<p>{prose_block(k)}</p>" for k in range(4)]
+    lines = lambda page: html_text.main_text(page).split("\n")
+    deep = "<article>" + "<div>" * 2500 + p[0] + "</div>" * 2500 + p[1] + "</article>"
+    assert lines(deep) == [prose_block(0), prose_block(1)]
+    nested = f"<main><h1>Title</h1>{p[0]}<article>{p[1]}{p[2]}</article><div>Read more here</div></main>"
+    assert lines(nested) == ["Title", prose_block(0), prose_block(1), prose_block(2)]
+    assert lines(f"<article>{p[0]}</article><article>{p[1]}</article>") == [prose_block(0), prose_block(1)]
+    named = f'<article><div class="entry-header"><h1>Head</h1></div><div class="tags-intro">{p[0]}</div><div class="tags">a b c</div>{p[1]}<div class="comments">{p[2]}</div></article>'
+    assert lines(named) == ["Head", prose_block(0), prose_block(1)]
+    other = "<div><h1>Новости</h1><p>Сегодня в городе прошло собрание жителей, на котором обсуждали вопросы строительства школы.</p><p>Короткий абзац.</p></div><nav><a href=x>Меню</a></nav>"
+    assert lines(other)[0] == "Новости" and len(lines(other)) == 3
+    assert lines("<article><p>let <math><mi>x</mi></math> be</p></article>") == ["let x be"]
+
+
+def test_main_text_is_linear():
+    import time
+
+    def seconds(n):
+        t = time.perf_counter()
+        for page in ("<b> </b>" * n + "<b>x</b>" * n, "<b>" * n + "</i>" * n, "<b>" * n + "<div></div>" * n, "<p>word</p>" * n):
+            html_text.main_text(page)
+        return time.perf_counter() - t
+
+    seconds(500)
+    assert seconds(32_000) < 40 * max(seconds(2_000), 0.01)
+
+
+def brute_blocks(texts, stops):
+    """The rules of both passes for blocks inside an article, written out block by block."""
+    decided = []
+    for t in texts:
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        share = sum(w in stops for w in words) / len(words) if words else 0
+        decided.append(None if len(t) < 70 else True if share >= 0.2 or share >= 0.12 and len(t) >= 200 else None)
+    return [t for k, t in enumerate(texts) if decided[k] or all(d is not False for d in decided)]
+
+
+def test_main_text_against_brute_force(spark):
+    rng = random.Random(8)
+    pool = "the of and to in a is that it was river house walked green letter morning window paper quiet seven".split()
+    pages = []
+    for i in range(60):
+        texts = [" ".join(rng.choice(pool) for _ in range(rng.choice([1, 4, 9, 30, 60]))) for _ in range(rng.randrange(1, 9))]
+        pages.append((i, "u", "<nav><a href=/>x</a></nav><article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article><footer>f</footer>", texts))
+    pages.append((60, "u", f"<article><p>{'the of long ' * 900_000}</p></article>", ["the of long " * 900_000]))
+    rows = [p[:3] for p in pages] + [pages[0][:3]]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r.page_id, r.text) for r in html_text.extract(frame).collect()]
+    want = [(i, "\n".join(x.strip() for x in brute_blocks(texts, html_text.STOP_WORDS))) for i, _, _, texts in pages]
+    assert sorted(got) == sorted([*want, want[0]])
+    assert html_text.extract(frame.limit(0)).count() == 0
+
+
 def test_licences(spark, no_docs):
     assert [s for texts in licenses.SENTENCES.values() for s in texts if not licenses.ANCHOR.search(s)] == []
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
@@ -267,4 +362,3 @@ def test_queries_match_their_sql(spark, sf_dir):
         key = want.columns[0]
         got, want = (x[list(want.columns)].sort_values(key).fillna(-1).astype(str).values.tolist() for x in (got, want))
         assert [[c.removesuffix(".0") for c in r] for r in got] == [[c.removesuffix(".0") for c in r] for r in want], name
-    assert random.Random(0).random() < 1
