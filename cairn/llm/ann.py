@@ -2,19 +2,21 @@
 
 A vector is coded as the sum of one full-dimensional codeword from each of ``LEVELS`` codebooks. Codebooks
 start from k-means on residuals, level by level, and are refitted together by least squares; codes come from a
-beam search over the codebooks. The index holds codes, the squared norm of each coded vector and the
-original vector. A query scores codes by table lookup (one inner product per codeword), takes the best
-``rerank`` distinct vectors of every block of rows, and scores those exactly in double precision.
+beam search over the codebooks. The index holds codes, the norms of the vector and of the coded vector, and the
+original vector. A query scores codes by table lookup (one inner product per codeword), corrected by the ratio of the
+stored norms, takes the best ``rerank`` distinct vectors of every block of rows, and scores those exactly in double
+precision. A block is what a task has read, up to ``ROW_BLOCK_BYTES`` of vectors, however Arrow batches are cut.
 
-Codebooks are fitted on a bounded sample (``SAMPLE`` vectors, those with the smallest hash); every vector is
+Codebooks are fitted on a bounded sample (about ``SAMPLE`` vectors, chosen by a hash of the id); every vector is
 indexed. Queries go out in blocks of at most ``QUERY_BLOCK_BYTES``, each against all rows, and every task
 returns at most k rows a query, so nothing that is broadcast or gathered grows without a bound.
 
 Equal vectors: within a block each distinct vector is scored once and stands for its k + 1 smallest ids; more
 can't be needed, so a very common vector neither hides others nor breaks ties wrongly.
 
-Defined cases: vectors that are null, all zero or hold null or non-finite components take no part, nor do
-those whose length isn't the most frequent one; rows that repeat an id and vector count once; ties go to the
+Defined cases: vectors that are null, all zero or hold null or non-finite components take no part; vectors of different
+lengths are searched apart, each among those of its own length; rows that repeat an id and vector count once; of rows
+that share an id but not the vector, each asks as a query, and an id is found once, with its best score; ties go to the
 smaller id; fewer candidates than k give fewer rows; an empty table gives none. Only id and vector are read.
 """
 
@@ -28,14 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, small_batches
 
-LEVELS, CODEWORDS, BEAM = 8, 256, 4
+LEVELS, CODEWORDS, BEAM = 24, 256, 4
 SAMPLE, ROUNDS, REFITS = 16_384, 6, 1
 QUERY_BLOCK_BYTES = 16 << 20
-ROW_BLOCK = 4096
-RERANK = 64
-INDEX_SCHEMA = "vec_id long, vector array<double>, codes binary, norm float"
+ROW_BLOCK_BYTES = 32 << 20
+#: Vectors of a block that are scored exactly for each query, and queries that are scored at once.
+RERANK, ASKED = 256, 128
+INDEX_SCHEMA = "vec_id long, vector array<double>, codes binary, norm float, coded_norm float"
 
 
 class Quantiser:
@@ -108,8 +111,8 @@ class Quantiser:
         return sum(self.books[m][codes[:, m]] for m in range(len(self.books)))
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
-        """Inner products of queries with all codewords: levels x queries x codewords."""
-        return np.einsum("qd,mkd->mqk", queries.astype(np.float32), self.books, optimize=True)
+        """Inner products of queries with all codewords: levels x codewords x queries."""
+        return self.books @ np.ascontiguousarray(queries.astype(np.float32).T)
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -122,9 +125,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col("vector")
     df = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    df = df.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(F.forall(v, finite) & F.exists(v, lambda x: x != 0))
-    common = df.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return df.where(F.size(v) == (common[0] if common else 0))
+    return df.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(F.forall(v, finite) & F.exists(v, lambda x: x != 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -132,22 +133,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> Quantiser | None:
-    """Codebooks from the ``sample`` vectors with the smallest hashes of id; None for an empty table."""
-    got = rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").select("vector").limit(sample).collect()
-    return Quantiser.fit(np.array([r[0] for r in got])) if got else None
+def fit(rows: DataFrame, count: int, sample: int = SAMPLE) -> Quantiser:
+    """Codebooks from about ``sample`` of ``count`` vectors, by a hash of id; the cut is made in the cluster."""
+    share = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) * F.lit(float(count)) < F.lit(float(sample) * (1 << 30))
+    got = rows.where(share).select("vector").limit(2 * sample).collect() or rows.select("vector").limit(sample).collect()
+    return Quantiser.fit(np.array([r[0] for r in got]))
 
 
 def build_index(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """All rows with codes and the squared norms of the coded vectors, as INDEX_SCHEMA."""
+    """All rows with codes and the norms of the vectors and of the coded ones, as INDEX_SCHEMA."""
     shared = rows.sparkSession.sparkContext.broadcast(quantiser)  # levels x codewords x dimensions floats
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                codes = shared.value.encode(_matrix(batch.column(1)))
-                norms = (shared.value.decode(codes).astype(np.float64) ** 2).sum(axis=1).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "vector", "codes", "norm"])
+                x = _matrix(batch.column(1))
+                codes = shared.value.encode(x)
+                norms = [np.linalg.norm(v, axis=1).astype(np.float32) for v in (x, shared.value.decode(codes))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, norms)], names=["vec_id", "vector", "codes", "norm", "coded_norm"])
 
     return rows.mapInArrow(coded, INDEX_SCHEMA)
 
@@ -194,11 +197,12 @@ class _Best:
 def search(index: DataFrame, quantiser: Quantiser, queries: DataFrame, k: int = 20, rerank: int = RERANK) -> DataFrame:
     """(query_id, vec_id, score): each query's k nearest by inner product, its own id left out."""
     spark, d = index.sparkSession, quantiser.books.shape[2]
+    queries = queries.dropDuplicates(["vec_id", "vector"])
     spread = max(1, -(-queries.count() * d * 8 // QUERY_BLOCK_BYTES))
     parts = []
     for b in range(spread):
         block = queries if spread == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(spread)) == b)
-        got = block.dropDuplicates(["vec_id"]).collect()
+        got = block.collect()
         if not got:
             continue
         shared = spark.sparkContext.broadcast((quantiser, np.array([r[0] for r in got]), np.array([r[1] for r in got])))
@@ -206,23 +210,36 @@ def search(index: DataFrame, quantiser: Quantiser, queries: DataFrame, k: int =
         def scored(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             quantiser, own, asked = shared.value
             best = _Best(own, k)
+
+            def score(held: list[pa.RecordBatch]) -> None:
+                part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                x, ids = _matrix(part.column(1)), part.column(0).to_numpy()
+                rows, members = _distinct(ids, x, k)
+                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[rows]
+                norm, coded = (part.column(c).to_numpy()[rows] for c in (3, 4))
+                x, ratio = x[rows], (norm / np.where(coded > 0, coded, 1))[:, None]
+                for at in (slice(q, q + ASKED) for q in range(0, len(own), ASKED)):
+                    tables = quantiser.tables(asked[at])
+                    rough = tables[0][codes[:, 0]]
+                    for m in range(1, len(tables)):
+                        rough += tables[m][codes[:, m]]
+                    rough = np.ascontiguousarray((rough * -ratio).T)
+                    n = min(rerank, len(rows))
+                    near = np.argpartition(rough, n - 1, axis=1)[:, :n]
+                    exact = np.einsum("qd,qnd->qn", asked[at], x[near])
+                    found = members[near]
+                    best.add(at, np.repeat(exact[:, :, None], found.shape[2], axis=2).reshape(len(exact), -1), found.reshape(len(exact), -1))
+
+            held, size = [], 0
             for batch in batches:
-                for first in range(0, batch.num_rows, ROW_BLOCK):
-                    part = batch.slice(first, ROW_BLOCK)
-                    x, ids = _matrix(part.column(1)), part.column(0).to_numpy()
-                    rows, members = _distinct(ids, x, k)
-                    codes = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[rows].astype(np.int64)
-                    x = x[rows]
-                    for at in (slice(q, q + 256) for q in range(0, len(own), 256)):
-                        tables = quantiser.tables(asked[at])
-                        rough = np.take(tables[0], codes[:, 0], axis=1)
-                        for m in range(1, len(tables)):
-                            rough += np.take(tables[m], codes[:, m], axis=1)
-                        n = min(rerank, len(rows))
-                        near = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-                        exact = np.einsum("qd,qnd->qn", asked[at], x[near])
-                        found = members[near]
-                        best.add(at, np.repeat(exact[:, :, None], found.shape[2], axis=2).reshape(len(exact), -1), found.reshape(len(exact), -1))
+                if batch.num_rows:
+                    held.append(batch)
+                    size += batch.num_rows * d * 8
+                if size >= ROW_BLOCK_BYTES:
+                    score(held)
+                    held, size = [], 0
+            if held:
+                score(held)
             some = ~np.isneginf(best.scores)
             rows = np.nonzero(some)[0]
             yield pa.RecordBatch.from_arrays([pa.array(own[rows], pa.int64()), pa.array(best.ids[some], pa.int64()), pa.array(best.scores[some], pa.float64())], names=["query_id", "vec_id", "score"])
@@ -233,22 +250,25 @@ def search(index: DataFrame, quantiser: Quantiser, queries: DataFrame, k: int =
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.dropDuplicates()
+    return out
 
 
 def ranked(found: DataFrame, k: int = 20) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest of all vectors for each vector that satisfies ``is_query`` (a condition on vec_id)."""
-    rows = usable(vectors, id_col, vector_col)
-    quantiser = fit(rows)
-    if quantiser is None:
-        return ranked(vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double"), k)
-    index = materialize(build_index(rows, quantiser), "vector-index")
-    return ranked(search(index, quantiser, index.where(is_query).select("vec_id", "vector"), k), k)
+    small_batches(vectors.sparkSession)
+    rows, found = usable(vectors, id_col, vector_col), vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for d, n in rows.groupBy(F.size("vector")).count().orderBy(F.desc("count")).collect():
+        same = rows.where(F.size("vector") == d)
+        quantiser = fit(same, n)
+        index = materialize(build_index(same, quantiser), "vector-index")
+        found = found.unionByName(search(index, quantiser, index.where(is_query).select("vec_id", "vector"), k))
+    return ranked(found, k)
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +126,27 @@ def test_ann_repeated_rows(spark):
         assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == np.argsort(-s)[:20].tolist()
 
 
+def test_ann_codes_decide(spark, tmp_path):
+    """Recall against brute force where 256 of 50,000 vectors in one block are scored exactly."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50_000, 32)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), tmp_path / "vectors.parquet")
+    frame = spark.read.parquet(str(tmp_path / "vectors.parquet"))
+    got = ann.nearest(frame, F.col("vec_id") % 500 == 0).toPandas()
+    exact = x[::500].astype(np.float64) @ x.T.astype(np.float64)
+    hits = 0
+    for k, q in enumerate(range(0, len(x), 500)):
+        exact[k, q] = -np.inf
+        hits += len(set(np.argsort(-exact[k])[:20]) & set(got[got["query_id"] == q]["vec_id"]))
+    assert hits >= 0.9 * 20 * len(exact)
+
+
+def test_ann_lengths_and_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (2, [0.0, 5.0]), (20, [1.0, 1.0, 1.0]), (3, [1.0, 0.0, 2.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 2, 5.0), (0, 2, 1, 2.0), (20, 1, 3, 3.0)]
+
+
 def test_quantiser():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(800, 8))
@@ -131,7 +154,7 @@ def test_quantiser():
     wide, narrow = (((x - q.decode(q.encode(x, beam=b))) ** 2).sum() for b in (8, 1))
     assert wide <= narrow < (x**2).sum() * 0.5
     tables, codes = q.tables(x[:5]), q.encode(x)
-    assert sum(tables[m][:, codes[:, m]] for m in range(3)) == pytest.approx(x[:5].astype(np.float32) @ q.decode(codes).T, abs=1e-3)
+    assert sum(tables[m][codes[:, m]] for m in range(3)) == pytest.approx(q.decode(codes) @ x[:5].astype(np.float32).T, abs=1e-3)
 
 
 def test_warc(spark, tmp_path):
