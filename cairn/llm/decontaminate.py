@@ -196,7 +196,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> I
         yield [tuple(r) for r in part.collect()]
 
 
-def phrase_matches(index: DataFrame, items: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def phrase_matches(index: DataFrame, items: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
     """Exact phrase matches per document, as MATCH_SCHEMA: merged word spans that windows cover, and the items they belong to."""
     spark, parts = index.sparkSession, []
     for block in _blocks(items, id_col, text_col, block_bytes):

@@ -4,7 +4,7 @@ Numbers and dates are found by pattern, validated (Luhn, ISO 7064, calendar, num
 keyed permutation of the values of their own format: a Feistel network over the smallest even number of bits that
 holds the format's domain, walked until the result lies in the domain again. So a pseudonym is valid in its
 format, equal values get equal pseudonyms in all documents, different values different ones, and the holder of the
-key can undo it. Separators, lengths, country codes, card brands and e-mail domains stay.
+key can undo it. Phone numbers are read as country and national number first, however they are written. Separators, lengths, country codes, card brands and e-mail domains stay.
 
 All matches of a text are replaced; overlapping ones go to the leftmost, then to the first kind in KINDS. Cards and
 IBANs may be followed by other digits or words, so every end at a separator is tried, and after a start where
@@ -30,6 +30,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 ROUNDS = 8
 DEMO_KEY = b"replace this key in production"
+#: Session setting that holds the query's key.
+KEY_SETTING = "spark.cairn.pii.key"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -89,6 +91,15 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+# Country codes of two digits; +1 and +7 have one digit, all others three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def country_code(digits: str) -> str:
+    """The country code at the start of an international number."""
+    return digits[:1] if digits[:1] in ("1", "7") else digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
+
+
 class Pseudonyms:
     def __init__(self, key: bytes, undo: bool = False):
         self.key, self.undo = key, undo
@@ -149,16 +160,22 @@ class Pseudonyms:
         return _refill(text, d, self._number(d, "ssn", valid)) if valid(d) else None
 
     def phone(self, text: str) -> str | None:
-        country = re.match(r"\+(?:1|7|\d{2})(?=\D)|\+\d{3}(?=\D)|", text)[0]
-        rest = text[len(country) :]
-        d = _digits(rest)
+        """Permutes the national number within its country and length, so all ways of writing a number get the same one."""
+        flat = ("+" if text[0] == "+" else "+1") + _digits(text)
+        country = country_code(flat[1:])
+        d = flat[1 + len(country) :]
+        # 00 or a trunk 0 in brackets belong to the writing, not to the number
+        trunk = "0" if country != "1" and re.search(r"\(0", text) else ""
+        d = d.removeprefix(trunk)
         if not 6 <= len(d) <= 14:
             return None
-        plan = country in ("+1", "") and len(d) == 10
-        if plan and (d[0] in "01" or d[3] in "01"):
+        plan = country == "1" and len(d) == 10
+        if plan and (d[0] in "01" or d[3] in "01") or text[0] != "+" and not plan:
             return None
         ok = (lambda x: x[0] not in "01" and x[3] not in "01") if plan else (lambda x: (x[0] == "0") == (d[0] == "0"))
-        return country + _refill(rest, d, self._number(d, f"phone:{country}:{plan or d[0] == '0'}", ok))
+        new = self._number(d, f"phone:{country}:{plan or d[0] == '0'}", ok)
+        shown = (country if text[0] == "+" else "") + trunk
+        return _refill(text, shown + d, shown + new)
 
     def date(self, text: str) -> str | None:
         a, sep, b, c = re.match(r"(\d+)([-/.])(\d+)[-/.](\d+)", text).groups()
@@ -277,6 +294,7 @@ def pseudonyms(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text", u
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonyms(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    key = spark.conf.get(KEY_SETTING, None)
+    out = pseudonyms(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key.encode() if key else DEMO_KEY)
     spans = F.transform("pii", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     return out.select("doc_id", F.size("pii").cast("long").alias("n_values"), F.array_join(spans, ",").alias("spans"), "text")

@@ -12,7 +12,7 @@ page_id is the response and the others revisit it; smaller payloads are response
 Skew: a digest that many records share is dealt out over salts of ``SALT_ROWS`` records each, on both sides of
 the join, so no task gets an unbounded group.
 
-Defined cases: a null html is an empty payload; a null url gives an empty target; null page_ids rank below all
+Defined cases: a null html is an empty payload; a null url gives an empty target; line ends in a url are percent-encoded in its header; null page_ids rank below all
 others (a group of nothing but nulls has only responses); repeated rows are records of their own, and rows that
 share the largest page_id are all responses; an empty table gives an empty archive. Only the three named
 columns are read.
@@ -72,12 +72,13 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), _line("Content-Length", F.col("size").cast("string")), F.lit("\r\n"))
     length = F.length("http") + F.when(revisit, 0).otherwise(F.col("size"))
     header = F.concat(
-        F.lit("WARC/1.1\r\n"), _line("WARC-Type", kind), _line("WARC-Record-ID", _urn(F.col("page_id"))), _line("WARC-Target-URI", F.regexp_replace("url", "[\\r\\n]+", " ")),
+        F.lit("WARC/1.1\r\n"), _line("WARC-Type", kind), _line("WARC-Record-ID", _urn(F.col("page_id"))), _line("WARC-Target-URI", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         _line("WARC-Date", F.lit(RECORD_DATE)), _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(revisit, F.concat(_line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), _line("WARC-Refers-To", _urn(F.col("keep_id"))))).otherwise(""),
         _line("Content-Type", F.lit("application/http; msgtype=response")), _line("Content-Length", length.cast("string")), F.lit("\r\n"), F.col("http"),
     )
-    records = base.drop("payload").join(groups, "sha256").withColumn("http", http)
+    # a hot digest is on one side only, so adaptive execution can split it
+    records = base.drop("payload").join(groups.hint("merge"), "sha256").withColumn("http", http)
     records.select("page_id", "sha256", "salts", kind.alias("record_type"), F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/records")
 
 
