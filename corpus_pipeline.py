@@ -11,6 +11,8 @@ columns of ``documents``.
 5. tokens: token ids of the texts, and a check that they decode to the text.
 
 Stages 2 to 4 tell rows apart by their place in the stored table, so rows that share a doc_id, or have none, are judged each by their own text.
+Null and empty texts are nobody's duplicate, hold no benchmark words, secrets or tokens, and are judged by stage 1 like any text; an empty
+table stays empty in every stage; other columns of any name (but those of ROW and FOUND) are carried through all stages but the last.
 """
 
 from __future__ import annotations
@@ -26,39 +28,45 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+#: Added columns of the stages; a table may hold any others.
+ROW, FOUND = "__cairn_row", "__cairn_spans"
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs``, read from files, with ``row``: a key of each row that doesn't depend on how scans are cut into tasks."""
-    return docs.withColumn("row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    """``docs``, read from files, with ROW: a key of each row that doesn't depend on how scans are cut into tasks."""
+    return docs.withColumn(ROW, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
-    classes = jaccard.join_components(rows, "row").select(F.col("doc_id").alias("row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.octet_length("text").alias("size"), "row")
-    best = rows.select("row", order.alias("order")).join(classes, "row").groupBy("component_id").agg(F.min("order").alias("order"))
-    return rows.join(best.select("order.row"), "row").select(*docs.columns)
+    classes = jaccard.join_components(rows, ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.octet_length("text").alias("size"), F.col(ROW).alias("row"))
+    best = rows.select(ROW, order.alias("order")).join(classes, ROW).groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(best.select(F.col("order.row").alias(ROW)), ROW).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
-    found = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
-    return rows.join(found.where("contaminated").select(F.col("doc_id").alias("row")), "row", "left_anti").select(*docs.columns)
+    found = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
+    return rows.join(found.where("contaminated").select(F.col("doc_id").alias(ROW)), ROW, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
-    found = secrets.scan(rows, "row").where(F.size("spans") > 0).select(F.col("doc_id").alias("row"), "spans")
-    masked = rows.join(found, "row", "left")
-    text = F.when(F.col("spans").isNotNull(), secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    masked = masked.withColumn("text", text).withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    found = secrets.scan(rows, ROW).where(F.size("spans") > 0).select(F.col("doc_id").alias(ROW), F.col("spans").alias(FOUND))
+    masked = rows.join(found, ROW, "left")
+    text = F.when(F.col(FOUND).isNotNull(), secrets.redact(F.col("text"), F.col(FOUND))).otherwise(F.col("text"))
+    masked = masked.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.col(FOUND).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return masked.select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select("doc_id", "lang", "source", "text")
+    docs = docs.select(*(c for c in ("doc_id", "lang", "source", "text") if c in docs.columns))
     codec = bpe.fit_lexicon(docs, bpe.vocabulary_file())
     coded = bpe.decode(bpe.encode(docs, codec), codec)
-    return coded.select("doc_id", "lang", "source", *bpe.digests(coded), F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("round_trip"))
+    return coded.select(*(c for c in docs.columns if c != "text"), *bpe.digests(coded), F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("round_trip"))
 
 
 STAGES = [
