@@ -422,6 +422,34 @@ def test_pipeline_keeps_distinct_texts(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in masked), key=key_of) == sorted(((i, x.replace(key, "[secret]")) for i, x in kept if x != t[4]), key=key_of)
 
 
+def test_pipeline_edges(spark, tmp_path, texts):
+    """Nulls, empty and very long texts, repeated rows, clashing names and an empty table, stage by stage."""
+    import corpus_pipeline as p
+    from tests.llm.conftest import prose
+
+    names = "row spans copy key log_weight n_grams keep_id found_id bad_id found component_id cid".split()
+    long_text = prose(55, 250_000)
+    rows = [(i, t, "en", "s", None if t is None else len(t), *[i] * len(names)) for i, t in enumerate([*texts, long_text])] + [(None, None, None, None, None, *[None] * len(names)), (3, texts[3], "en", "s", 3, *[7] * len(names))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} long" for x in names)
+    spark.createDataFrame([(i, 1, 0) for i in range(0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (2, ""), (3, "no such phrase in any text here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for some in (rows, []):
+        docs = p.materialize(spark.createDataFrame(some, schema), "test")
+        columns = docs.columns
+        for name, stage in p.STAGES[:-1]:
+            docs = p.materialize(stage(spark, docs, str(tmp_path)), name)
+            assert docs.columns == columns, name
+        kept = [(r.doc_id, r.text, r.row, r.key) for r in docs.collect()]
+        distinct = {(t if t is None else re.sub(r"[ \t\n\r\x0b\x0c]+", " ", t)) for _, t, *_ in some}
+        if some:
+            assert (27, long_text, 27, 27) in kept or any(t == long_text for _, t, *_ in kept)
+            assert sum(t is None for _, t, *_ in kept) == 2 and len(kept) < len(some) and len(distinct) >= len(kept) - 4
+        else:
+            assert not kept
+        out = p.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert out.count() == len(kept) and out.where("not round_trip").count() == 0
+
+
 def test_queries_match_their_sql(spark, sf_dir):
     import duckdb
 
