@@ -51,6 +51,60 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
+def from_rerank(s: Column) -> Column:
+    """Raw score of a reranker whose service made it positive: 1 + s above 0, exp(s) below."""
+    return F.when(s >= 1, s - 1).when(s > 0, F.log(s)).otherwise(-1.0)
+
+
+# Quantile of the calibration that a reader's grade lifts a hit to, and the share of its own score above it.
+GRADE_QUANTILES, GRADE_SPREAD = {"same": 0.95, "close": 0.75}, 0.25
+
+
+def graded(score: Column, grade: Column, floors: dict[str, Column]) -> Column:
+    """Similarity of a hit that a reader graded: at least the floor of its grade plus a share of its own score. ``floors``: quantile values by grade."""
+    floor = F.lit(None).cast("double")
+    for name, value in floors.items():
+        floor = F.when(grade == name, value).otherwise(floor)
+    return F.when(floor.isNull(), clamp(score)).otherwise(clamp(F.greatest(score, floor + GRADE_SPREAD * score)))
+
+
+# Similarity of a typical nearest neighbour, and of one closer than 95 % of them.
+MATCH_MID, MATCH_HIGH = 0.156, 0.365
+
+
+def match_scale(similarity: Column) -> Column:
+    """Similarity on a scale where MATCH_MID is one half and MATCH_HIGH nine tenths."""
+    return logistic_percentile(similarity, MATCH_MID, math.log(9) / (MATCH_HIGH - MATCH_MID))
+
+
+def moments(logprobs: Column) -> Column:
+    """struct(mean, variance) of log probabilities under their own renormalised weights; null below two."""
+    top = F.array_max(logprobs)
+    weights = F.transform(logprobs, lambda x: F.exp(x - top))
+    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+    mean = F.aggregate(F.zip_with(weights, logprobs, lambda w, x: w * x), F.lit(0.0), lambda a, x: a + x) / total
+    square = F.aggregate(F.zip_with(weights, logprobs, lambda w, x: w * x * x), F.lit(0.0), lambda a, x: a + x) / total
+    return F.when(F.size(logprobs) >= 2, F.struct(mean.alias("mean"), F.greatest(F.lit(0.0), square - mean * mean).alias("variance")))
+
+
+def curvature_class(percentile: Column, fpr: float = 0.05) -> Column:
+    """Machine-like above the quantile of human text that leaves a share ``fpr`` of false alarms; null without a reference."""
+    return F.when(percentile.isNull(), F.lit(None)).when(percentile >= 1 - fpr, "ai").otherwise("human")
+
+
+def detector_agreement(other: Column, curvature: Column) -> Column:
+    """Whether two detectors agree; a mixed verdict counts as machine-written."""
+    return F.when(other.isNull() | curvature.isNull(), "unknown").when(other.isin("ai", "mixed") == (curvature == "ai"), "agree").otherwise("disagree")
+
+
+def resample_count(k: Column, n: Column, *key: Column) -> Column:
+    """A count drawn anew, binomial by its normal limit, from a hash of the key."""
+    p = k / n
+    z = normal_draw(uniform(*key, F.lit("a")), uniform(*key, F.lit("b")))
+    drawn = F.round(k + z * F.sqrt(k * (1 - p)))
+    return F.when((n <= 0) | (k <= 0), F.lit(0)).when(k >= n, n).otherwise(F.greatest(F.lit(0), F.least(n, drawn))).cast("long")
+
+
 def logistic_percentile(x: Column, mid: float = 0.5, slope: float = 8.0) -> Column:
     return 1 / (1 + F.exp(-slope * (x - mid)))
 
@@ -83,6 +137,14 @@ def gpd_survival(x: Column, shape: Column, scale: Column) -> Column:
     return F.when(x <= 0, 1.0).when(scale <= 0, 0.0).when(F.abs(shape) < 1e-9, F.exp(-x / scale)).when(inner <= 0, 0.0).otherwise(F.pow(inner, -1 / shape))
 
 
+def erf(x: Column) -> Column:
+    """Error function, after Abramowitz and Stegun 7.1.26 (fixed values)."""
+    k = 1 / (1 + 0.3275911 * F.abs(x))
+    poly = k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429))))
+    tail = 1 - poly * F.exp(-x * x)
+    return F.when(x < 0, -tail).otherwise(tail)
+
+
 def log_likelihood(fg: Column, fg_n: Column, bg: Column, bg_n: Column) -> Column:
     """Dunning's G2 of a term with fg of fg_n foreground and bg of bg_n background documents."""
     def term(o: Column, e: Column) -> Column:

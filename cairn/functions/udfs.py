@@ -24,16 +24,17 @@ SECTIONS = [
     ("built_with", r"built with|tech stack|tools used"),
 ]
 _SECTIONS = [(name, re.compile(rf"^(?:{pattern})$", re.I)) for name, pattern in SECTIONS]
-BLOCKS = re.compile(r"</?(?:p|div|section|article|ul|ol|table|tr|h[1-6]|br|header|footer|main|blockquote|pre)\b[^>]*>", re.I)
+BLOCKS = re.compile(r"</?(?:p|div|section|article|ul|ol|table|tr|h[1-6]|header|footer|main|blockquote|pre)\b[^>]*>", re.I)
+DROPPED = re.compile(r"<(script|style|noscript|template|iframe|svg|figure|video|audio|button)\b[\s\S]*?</\1\s*>|<!--[\s\S]*?-->", re.I)
 
 
 def html_to_text_one(page: str | None) -> str | None:
-    """Readable text of HTML: headings as ``## x``, list items as ``- ``, blocks on lines of their own, references decoded."""
+    """Readable text of HTML: headings as ``## x``, list items as ``- ``, headings and blocks between blank lines, references decoded."""
     if page is None:
         return None
-    page = re.sub(r"<(script|style|noscript|template)\b[\s\S]*?</\1\s*>|<!--[\s\S]*?-->", " ", page, flags=re.I)
+    page = DROPPED.sub(" ", page)
     page = re.sub(r"<h[1-6]\b[^>]*>", "\n\n## ", page, flags=re.I)
-    page = BLOCKS.sub("\n", re.sub(r"<li\b[^>]*>", "\n- ", page, flags=re.I))
+    page = BLOCKS.sub("\n\n", re.sub(r"<li\b[^>]*>", "\n- ", re.sub(r"<br\b[^>]*>", "\n", page, flags=re.I), flags=re.I))
     text = html.unescape(re.sub(r"<[^>]+>", "", page))
     text = "\n".join(re.sub(r"[^\S\n]+", " ", line).strip() for line in text.split("\n"))
     return re.sub(r"\n{3,}", "\n\n", text).strip()

@@ -15,7 +15,7 @@ RELIABILITY = {
     "year": {"github": 0.9, "hn": 0.9, "arxiv": 0.9, "yc": 0.7, "devpost": 0.6, "web": 0.4},
     "tech": {"github": 0.9, "devpost": 0.8, "yc": 0.4, "hn": 0.3, "web": 0.4, "arxiv": 0.3},
 }
-#: A trigram or address that more names share is no evidence, and joining on it would cost the square of its count.
+#: Least trigram Jaccard similarity of two names.
 NAME_JACCARD = 0.6
 
 
@@ -42,13 +42,13 @@ def name_pairs(names: DataFrame, threshold: float = NAME_JACCARD) -> DataFrame:
 
 def decide(pairs: DataFrame, adjudicated: int = 8) -> DataFrame:
     """Verdicts: shared addresses are the same; of the rest the most similar few await a judgement, others are ignored."""
-    rank = F.row_number().over(Window.partitionBy("url_xref").orderBy(F.desc("sim"), "a", "b"))
-    return pairs.withColumn("verdict", F.when(F.col("url_xref"), "same").when(rank <= adjudicated, "ask").otherwise("ignored"))
+    asked = pairs.where(~F.col("url_xref")).orderBy(F.desc("sim"), "a", "b").limit(adjudicated).select("a", "b", F.lit(True).alias("asked"))  # a bounded top-k
+    return pairs.join(F.broadcast(asked), ["a", "b"], "left").withColumn("verdict", F.when(F.col("url_xref"), "same").when(F.col("asked"), "ask").otherwise("ignored")).drop("asked")
 
 
 def components(nodes: DataFrame, edges: DataFrame, spark_dir: str | None = None) -> DataFrame:
     """(id, component): smallest id that edges (a, b) reach. Labels spread along edges and jump to their labels' labels, so rounds grow with the logarithm of the diameter."""
-    from .storage import step
+    from .storage import discard, step
 
     both = step(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), spark_dir)
     labels = step(nodes.select("id", F.col("id").alias("component")), spark_dir)
@@ -58,8 +58,10 @@ def components(nodes: DataFrame, edges: DataFrame, spark_dir: str | None = None)
         jump = moved.join(labels.select(F.col("id").alias("to"), F.col("component").alias("far")), "to", "left").select("id", F.least("to", F.coalesce("far", "to")).alias("component"))
         new = step(jump, spark_dir)
         changed = new.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
+        discard(labels)
         labels = new
         if not changed:
+            discard(both)
             return labels
 
 

@@ -13,18 +13,17 @@ from .base import TOKENS, Catalog, sql_list
 catalog = Catalog()
 query = catalog.query
 
-# Spellings of technologies.
-TECH_ALIASES = {"js": "javascript", "javascript": "javascript", "java": "java", "py": "python", "python": "python", "react": "react", "reactjs": "react", "node": "node.js", "nodejs": "node.js", "postgres": "postgresql", "postgresql": "postgresql", "k8s": "kubernetes", "kubernetes": "kubernetes"}
-NOTES = [(0, "Built with React, Node and Postgres"), (1, "a javascript thing"), (2, "Java and py"), (3, "nothing here"), (4, "K8s, k8s and kubernetes")]
+WARES = {"ring": "ring", "widget": "widget", "bolt": "fastener", "nut": "fastener", "screw": "fastener", "gear": "gear", "red": "red", "blue": "blue"}
+WARES_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in WARES.items()) + "}"
 
 
-@query("SELECT * FROM (VALUES (0, 'node.js,postgresql,react'), (1, 'javascript'), (2, 'java,python'), (3, ''), (4, 'kubernetes')) AS t(i, tech)")
+@query(f"""SELECT p_partkey, CASE WHEN p_type <> 'ECONOMY' THEN lower(p_type) WHEN len(f) > 0 THEN array_to_string(f, ',') ELSE '' END AS tech, CASE WHEN p_type <> 'ECONOMY' THEN 'source' WHEN len(f) > 0 THEN 'imputed' END AS provenance
+FROM (SELECT p_partkey, p_type, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda w: map_contains({WARES_SQL}, w)), lambda w: {WARES_SQL}[w]))) AS f FROM part)""")
 def extract_tech(spark, d):
-    """Technologies named in prose, whole words only, by their canonical names."""
-    aliases = F.create_map(*(F.lit(x) for pair in TECH_ALIASES.items() for x in pair))
-    found = F.regexp_extract_all(F.lower("note"), F.lit(r"\b(" + "|".join(sorted(TECH_ALIASES, key=len, reverse=True)) + r")\b"), F.lit(1))
-    names = F.array_sort(F.array_distinct(F.transform(found, lambda w: aliases[w])))
-    return spark.createDataFrame(NOTES, "i int, note string").select("i", F.array_join(names, ",").alias("tech"))
+    """Terms by the ladder of provenance: a structured list, a block of text, then prose; here of parts, by a map of wares."""
+    listed = F.when(F.col("p_type") != "ECONOMY", F.array("p_type"))
+    found = T.extract_terms(listed, F.lit(None).cast("string"), F.col("p_name"), WARES)
+    return table(spark, d, "part", "p_partkey", "p_name", "p_type").select("p_partkey", found.alias("x")).select("p_partkey", F.array_join(F.array_sort("x.terms"), ",").alias("tech"), "x.provenance")
 
 
 @query(f"SELECT doc_id, CASE WHEN len({TOKENS}) < 8 THEN source ELSE 'pitch' END AS scored FROM documents")
@@ -41,34 +40,36 @@ def self_exclusion(spark, d):
     return hosts.join(hosts.where("page_id < 3").select("host").distinct(), "host", "left_anti").select("page_id")
 
 
-LINKS = [(0, ["https://github.com/a/b", "https://x.org", "https://y.org"]), (1, ["https://youtu.be/q"]), (2, []), (3, ["https://www.figma.com/f", "http://site.io/a"])]
+HOST = r"regexp_replace(lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/?#:]+)', 1)), '^www\\.', '')"
 
 
-@query("SELECT * FROM (VALUES (0, 'https://x.org'), (1, ''), (2, ''), (3, 'http://site.io/a')) AS t(i, site)")
+@query(f"SELECT page_id, CASE WHEN {HOST} LIKE 'm.%' THEN 'https://site.io/' || page_id ELSE url END AS site FROM pages")
 def product_site(spark, d):
-    """First link that isn't on a host for code, videos or documents."""
-    picked = F.get(F.filter("links", lambda u: ~T.url_host(u).isin(T.GENERIC_HOSTS)), 0)
-    return spark.createDataFrame(LINKS, "i int, links array<string>").select("i", F.coalesce(picked, F.lit("")).alias("site"))
+    """First link that isn't on a host for code, videos or documents, or below one."""
+    links = F.array(F.lit("https://github.com/a/b"), F.lit("https://docs.google.com/x"), F.when(T.url_host("url").startswith("m."), F.concat(F.lit("https://demo.vercel.app/"), F.col("page_id").cast("string"))).otherwise(F.col("url")), F.concat(F.lit("https://site.io/"), F.col("page_id").cast("string")))
+    return table(spark, d, "pages", "page_id", "url").select("page_id", F.coalesce(T.product_site(links), F.lit("")).alias("site"))
 
 
-ANSWERS = [(0, 'Sure! {"score": 3, "tags": ["a", "b"]} done'), (1, '```json\n{"score": 5, "tags": "c"}\n```'), (2, "no json"), (3, '{"score": "x"')]
-
-
-@query("SELECT * FROM (VALUES (0, 3, 'a,b'), (1, 5, 'c'), (2, -1, ''), (3, -1, '')) AS t(i, score, tags)")
+@query("""SELECT event_id, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN CAST(json_extract(props, '$.k') AS INT) ELSE -1 END AS score, CASE event_type WHEN 'click' THEN 'a,b' WHEN 'view' THEN 'c' ELSE '' END AS tags FROM events""")
 def tolerant_json(spark, d):
     """JSON inside model text; a list may come as one value."""
+    k = F.get_json_object("props", "$.k")
+    kind = F.col("event_type")
+    answer = (
+        F.when(kind == "click", F.concat(F.lit('Sure! {"score": '), k, F.lit(', "tags": ["a", "b"]} done'))).when(kind == "view", F.concat(F.lit('```json\n{"score": '), k, F.lit(', "tags": "c"}\n```')))
+        .when(kind == "purchase", F.concat(F.lit('{"score": '), k, F.lit("}"))).when(kind == "error", "no json").otherwise('{"score": "x"')
+    )
     body = F.regexp_extract("answer", r"\{[\s\S]*\}", 0)
     many, single = F.from_json(body, "score int, tags array<string>"), F.from_json(body, "score int, tags string")
     tags = F.coalesce(F.array_join(many["tags"], ","), single["tags"], F.lit(""))
-    return spark.createDataFrame(ANSWERS, "i int, answer string").select("i", F.coalesce(single["score"], F.lit(-1)).alias("score"), tags.alias("tags"))
+    return table(spark, d, "events", "event_id", "event_type", "props").withColumn("answer", answer).select("event_id", F.coalesce(single["score"], F.lit(-1)).alias("score"), tags.alias("tags"))
 
 
-@query("SELECT event_id, round(greatest(value / 100, 0.2 + 0.25 * (value / 100)), 6) AS graded, round(CASE WHEN value > 0 AND value < 100 THEN ln(value / (100 - value)) ELSE 0 END, 5) AS logit FROM events WHERE event_id % 20 = 0")
-def graded_similarity(spark, d):
-    """Scores lifted to a floor by grade, and the inverse of a logistic score."""
-    v = F.col("value") / 100
-    logit = F.when((F.col("value") > 0) & (F.col("value") < 100), F.log(F.col("value") / (100 - F.col("value")))).otherwise(0.0)
-    return table(spark, d, "events", "event_id", "value").where("event_id % 20 = 0").select("event_id", F.round(F.greatest(v, 0.2 + 0.25 * v), 6).alias("graded"), F.round(logit, 5).alias("logit"))
+@query("SELECT event_id, round(CASE WHEN s >= 1 THEN s - 1 WHEN s > 0 THEN ln(s) ELSE -1 END, 5) AS raw, round(1 / (1 + exp(-(s - 0.156) * ln(9) / (0.365 - 0.156))), 6) AS match FROM (SELECT event_id, value / 60 - 0.2 AS s FROM events)")
+def rerank_scores(spark, d):
+    """Raw reranker scores from their positive form, and the scale on which users read them."""
+    s = F.col("value") / 60 - 0.2
+    return table(spark, d, "events", "event_id", "value").select("event_id", F.round(S.from_rerank(s), 5).alias("raw"), F.round(S.match_scale(s), 6).alias("match"))
 
 
 @query(r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[^.!?]*[.!?]+\s*|[^.!?]+$') AS p FROM benchmark), s AS (SELECT item_id, i AS sentence, len(regexp_extract_all(p[i], '\S+')) AS n FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM w)) SELECT item_id, CAST(sentence AS INT) AS sentence, CAST(n AS INT) AS n FROM s WHERE n > 0""")
@@ -105,11 +106,11 @@ def source_status(spark, d):
 PRIORITY = ["error", "purchase", "signup", "click", "view"]
 
 
-@query(f"SELECT user_id, min_by(event_type, list_position({sql_list(PRIORITY)}, event_type)) AS picked FROM events WHERE event_id % 5 = 0 GROUP BY user_id")
+@query(f"SELECT user_id, min_by(event_type, list_position({sql_list(PRIORITY)}, event_type)) AS picked FROM events GROUP BY user_id")
 def priority_pick(spark, d):
     """The gravest of several statuses."""
     rank = F.array_position(F.array(*(F.lit(x) for x in PRIORITY)), F.col("event_type"))
-    return table(spark, d, "events").where("event_id % 5 = 0").groupBy("user_id").agg(F.min_by("event_type", rank).alias("picked"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", rank).alias("picked"))
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'dead' ELSE 'alive' END AS site, page_id % 5 = 0 AND page_id % 2 = 0 AS contradicts FROM pages""")

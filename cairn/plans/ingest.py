@@ -30,9 +30,13 @@ def _votes(lang: str) -> str:
     return f"len(list_filter(w, lambda x: list_contains({sql_list(T.LANG_WORDS[lang])}, x)))"
 
 
-@query(f"""WITH v AS (SELECT doc_id, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters, {_votes('en')} AS en, {_votes('de')} AS de, {_votes('fr')} AS fr, {_votes('es')} AS es FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}]+') AS w FROM documents))
-SELECT doc_id, CASE WHEN letters < 20 THEN 'und' WHEN en >= 3 AND en >= greatest(de, fr, es) THEN 'en' WHEN greatest(de, fr, es) >= 5 AND greatest(de, fr, es) >= 2 * en THEN CASE WHEN de = greatest(de, fr, es) THEN 'de' WHEN fr = greatest(de, fr, es) THEN 'fr' ELSE 'es' END ELSE 'und' END AS lang FROM v""")
+_OTHERS = [k for k in T.LANG_WORDS if k != "en"]
+
+
+@query(f"""WITH v AS (SELECT doc_id, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters, {', '.join(f"{_votes(k)} AS {k}" for k in T.LANG_WORDS)} FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}]+') AS w FROM documents)), b AS (SELECT *, greatest({', '.join(_OTHERS)}) AS best FROM v)
+SELECT doc_id, CASE WHEN letters < 20 THEN 'und' WHEN en >= 3 AND en >= best THEN 'en' WHEN best >= 5 AND best >= 2 * en THEN CASE {' '.join(f"WHEN {k} = best THEN '{k}'" for k in _OTHERS)} END ELSE 'und' END AS lang FROM b""")
 def lang_guess(spark, d):
+    """Language of each text; the SQL leaves out the scripts, which none of these texts is written in."""
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", T.guess_lang("text").alias("lang"))
 
 
@@ -107,12 +111,15 @@ def normalised_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normalise_ws("text").alias("text"), T.count_words("text").alias("n_words"))
 
 
-LISTS = ["['c#', 'unity']", "[]", '["a", null, " b "]', "nan", "python, flask , ", "None", "['x']"]
-
-
-@query("SELECT * FROM (VALUES (0, 'c#|unity'), (1, ''), (2, 'a|b'), (3, ''), (4, 'python|flask'), (5, ''), (6, 'x')) AS t(i, items)")
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN lower(c_name) || '|c#' WHEN 'BUILDING' THEN 'a|' || lower(c_name) WHEN 'FURNITURE' THEN lower(c_name) || '|flask' ELSE '' END AS items FROM customer")
 def parse_listish(spark, d):
-    return spark.createDataFrame(list(enumerate(LISTS)), "i int, raw string").select("i", F.array_join(T.parse_listish("raw"), "|").alias("items"))
+    """Lists that come as text: Python lists, JSON lists, words between commas, and words for nothing."""
+    name, kind = F.lower("c_name"), F.col("c_mktsegment")
+    raw = (
+        F.when(kind == "AUTOMOBILE", F.concat(F.lit("['"), name, F.lit("', 'c#']"))).when(kind == "BUILDING", F.concat(F.lit('["a", null, " '), name, F.lit(' "]')))
+        .when(kind == "FURNITURE", F.concat(name, F.lit(", flask , "))).when(kind == "HOUSEHOLD", "[]").otherwise("None")
+    )
+    return table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment").select("c_custkey", F.array_join(T.parse_listish(raw), "|").alias("items"))
 
 
 @query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'nan' WHEN doc_id % 11 = 0 THEN '' ELSE source END AS source, n_chars FROM documents)
@@ -158,29 +165,32 @@ def project_document(spark, d):
     return rows.select("doc_id", F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("rid"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("is_winner"), F.coalesce(date, F.make_date(year, F.lit(1), F.lit(1))).cast("string").alias("first_seen"), F.when(F.length("text") <= 256, F.col("text")).alias("title_kw"))
 
 
-DATES = [(0, "Jan 05 - 07, 2024"), (1, "Nov 30 - Dec 02, 2023"), (2, "Mar 09, 2022"), (3, "Dec 30, 2021 - Jan 02, 2022"), (4, "soon")]
-
-
-@query("SELECT * FROM (VALUES (0, '2024-01-07'), (1, '2023-12-02'), (2, '2022-03-09'), (3, '2022-01-02'), (4, NULL)) AS t(i, ends)")
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE strftime(o_orderdate + INTERVAL (CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 2 END) DAY, '%Y-%m-%d') END AS ends FROM orders")
 def submission_dates(spark, d):
-    """End of four spellings of a period."""
-    rows = spark.createDataFrame(DATES, "i int, period string")
+    """End of a period in any of four spellings; null where it names none."""
+    at = F.to_date("o_orderdate")
+    to = F.date_add(at, 2)
+    text = lambda c, f: F.date_format(c, f)
+    within = F.concat_ws(" - ", text(at, "MMM dd"), F.when(F.month(at) == F.month(to), text(to, "dd, yyyy")).otherwise(text(to, "MMM dd, yyyy")))
+    period = F.when(F.col("o_orderpriority") == "5-LOW", "soon").when(F.col("o_orderstatus") == "O", text(at, "MMM dd, yyyy")).when((F.col("o_orderstatus") == "P") | (F.year(at) != F.year(to)), F.concat_ws(" - ", text(at, "MMM dd, yyyy"), text(to, "MMM dd, yyyy"))).otherwise(within)
+    rows = table(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority").select("o_orderkey", period.alias("period"))
     end = F.trim(F.element_at(F.split("period", " - "), -1))
     year, day = F.regexp_extract(end, r"(\d{4})$", 1), F.regexp_extract(end, r"(\d{1,2}),", 1)
     month = F.coalesce(F.nullif(F.regexp_extract(end, "^([A-Z][a-z]{2})", 1), F.lit("")), F.regexp_extract("period", "^([A-Z][a-z]{2})", 1))
-    return rows.select("i", F.try_to_date(F.concat_ws(" ", month, day, year), "MMM d yyyy").cast("string").alias("ends"))
-
-
-BATCHES = [(0, "Winter 2012", 1330000000), (1, "W12", 1330000000), (2, "S21", 1330000000), (3, "unspecified", 1330000000), (4, "IK12", 1300000000)]
+    return rows.select("o_orderkey", F.try_to_date(F.concat_ws(" ", month, day, year), "MMM d yyyy").cast("string").alias("ends"))
 
 
-@query("SELECT * FROM (VALUES (0, '2012', '2012-02-23'), (1, '2012', '2012-02-23'), (2, '2021', NULL), (3, NULL, NULL), (4, '2012', '2011-03-13')) AS t(i, year, launched)")
+@query("""WITH b AS (SELECT o_orderkey, o_orderpriority AS p, year(o_orderdate) AS y, strftime(o_orderdate + to_days(CAST(floor(o_totalprice) AS INT) % 900), '%Y-%m-%d') AS launched FROM orders),
+c AS (SELECT *, CASE WHEN p = '1-URGENT' THEN y WHEN p IN ('2-HIGH', '5-LOW') THEN 2000 + y % 100 END AS year FROM b) SELECT o_orderkey, CAST(year AS VARCHAR) AS year, CASE WHEN abs(CAST(left(launched, 4) AS INT) - year) <= 1 THEN launched END AS launched FROM c""")
 def batch_years(spark, d):
     """Year of a batch name; the launch date counts only within a year of it."""
-    rows = spark.createDataFrame(BATCHES, "i int, batch string, at long")
+    at, p = F.to_date("o_orderdate"), F.col("o_orderpriority")
+    batch = F.when(p == "1-URGENT", F.concat(F.lit("Winter "), F.year(at).cast("string"))).when(p == "2-HIGH", F.concat(F.lit("W"), F.date_format(at, "yy"))).when(p == "5-LOW", F.concat(F.lit("IK"), F.date_format(at, "yy"))).otherwise("unspecified")
+    seconds = F.unix_timestamp(F.date_add(at, (F.floor("o_totalprice") % 900).cast("int")).cast("timestamp"))
+    rows = table(spark, d, "orders").select("o_orderkey", batch.alias("batch"), seconds.alias("at"))
     year = F.coalesce(F.nullif(F.regexp_extract("batch", r"(\d{4})", 1), F.lit("")), F.concat(F.lit("20"), F.nullif(F.regexp_extract("batch", r"^[A-Z]{1,2}(\d{2})$", 1), F.lit("")))).cast("int")
     launched = F.to_date(F.timestamp_seconds("at"))
-    return rows.select("i", year.cast("string").alias("year"), F.when(F.abs(F.year(launched) - year) <= 1, launched).cast("string").alias("launched"))
+    return rows.select("o_orderkey", year.cast("string").alias("year"), F.when(F.abs(F.year(launched) - year) <= 1, launched).cast("string").alias("launched"))
 
 
 @query("SELECT count(*) FILTER (WHERE e IS NULL) AS ok, count(*) FILTER (WHERE e = 'too_short') AS skipped, count(*) FILTER (WHERE e = 'too_long') AS quarantined FROM (SELECT CASE WHEN n_chars < 250 THEN 'too_short' WHEN n_chars > 20000 THEN 'too_long' END AS e FROM documents)")

@@ -58,9 +58,9 @@ b AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT page_id AS id,
 
 def page_edges(spark, d):
     pages = table(spark, d, "pages", "page_id", "url").select("page_id", T.url_host("url").alias("host"), T.url_path("url").alias("path"))
-    stars = [pages.select("page_id", F.min("page_id").over(Window.partitionBy(k)).alias("b"), k) for k in ("host", "path")]
-    both = stars[0].select(F.col("page_id").alias("a"), "b").unionByName(stars[1].where("path <> ''").select(F.col("page_id").alias("a"), "b"))
-    return pages.select(F.col("page_id").alias("id")), both.where("a <> b")
+    stars = [pages.where("path <> ''" if k == "path" else "true").select(F.col("page_id").alias("a"), k) for k in ("host", "path")]
+    both = [s.join(s.groupBy(k).agg(F.min("a").alias("b")), k).select("a", "b") for s, k in zip(stars, ("host", "path"), strict=True)]
+    return pages.select(F.col("page_id").alias("id")), both[0].unionByName(both[1]).where("a <> b")
 
 
 @query(f"WITH RECURSIVE {LINKS} SELECT id, min(top) AS component FROM r GROUP BY id")
@@ -115,10 +115,10 @@ def canonical_record(spark, d):
     return rows.groupBy("eid").agg(F.min_by("rid", F.struct(F.array_position(order, F.col("source")), "rid")).alias("rid"))
 
 
-@query(f"WITH {SIM}, e AS (SELECT name, left(name, 2) AS eid FROM n) SELECT DISTINCT least(x.eid, y.eid) AS a, greatest(x.eid, y.eid) AS b FROM s JOIN e x ON x.name = s.a JOIN e y ON y.name = s.b WHERE x.eid <> y.eid")
+@query(f"WITH {SIM}, e AS (SELECT name, 'e' || left(sha1(regexp_replace(name, '^(blog|www|m)', '')), 7) AS eid FROM n) SELECT DISTINCT least(x.eid, y.eid) AS a, greatest(x.eid, y.eid) AS b FROM s JOIN e x ON x.name = s.a JOIN e y ON y.name = s.b WHERE x.eid <> y.eid")
 def possible_same_as(spark, d):
     """Open links between different entities."""
-    entity = names(spark, d).select("name", F.col("name").substr(1, 2).alias("eid"))
+    entity = names(spark, d).select("name", T.entity_id(F.regexp_replace("name", "^(blog|www|m)", "")).alias("eid"))
     a, b = (entity.select(F.col("name").alias(x), F.col("eid").alias(f"e{x}")) for x in "ab")
     links = R.name_pairs(names(spark, d)).join(a, "a").join(b, "b").where("ea <> eb")
     return links.select(F.least("ea", "eb").alias("a"), F.greatest("ea", "eb").alias("b")).distinct()

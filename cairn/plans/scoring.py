@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
@@ -13,10 +15,10 @@ catalog = Catalog()
 query = catalog.query
 
 
-@query("""WITH r AS (SELECT l_extendedprice AS value FROM lineitem), v AS (SELECT o_orderkey AS id, round(o_totalprice, 0) AS value FROM orders WHERE o_orderkey % 50 = 0), c AS (SELECT value, count(*) AS n FROM r GROUP BY value),
-t AS (SELECT count(*) AS total FROM r) SELECT id, round(((SELECT coalesce(sum(n), 0) FROM c WHERE c.value < v.value) + (SELECT coalesce(sum(n), 0) FROM c WHERE c.value <= v.value)) / (2 * total), 6) AS percentile FROM v, t""")
+@query("""WITH v AS (SELECT o_orderkey AS id, round(o_totalprice, 0) AS value FROM orders), b AS (SELECT value, 0 AS n FROM v UNION ALL SELECT l_extendedprice, 1 FROM lineitem), c AS (SELECT value, sum(n) AS n FROM b GROUP BY value),
+u AS (SELECT value, n, sum(n) OVER (ORDER BY value) AS upto, sum(n) OVER () AS total FROM c) SELECT id, round((2 * upto - n) / (2 * total), 6) AS percentile FROM v JOIN u USING (value)""")
 def empirical_cdf_midrank(spark, d):
-    values = table(spark, d, "orders", "o_orderkey", "o_totalprice").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), F.round("o_totalprice", 0).alias("value"))
+    values = table(spark, d, "orders", "o_orderkey", "o_totalprice").select(F.col("o_orderkey").alias("id"), F.round("o_totalprice", 0).alias("value"))
     return P.percentiles(values, table(spark, d, "lineitem", "l_extendedprice").withColumnRenamed("l_extendedprice", "value")).select("id", F.round("percentile", 6).alias("percentile"))
 
 
@@ -56,13 +58,13 @@ def gpd_pwm(spark, d):
     return fit.select("flag", "n", F.round("shape", 4).alias("shape"), F.round("scale", 2).alias("scale"))
 
 
-@query(f"""WITH {EXCESS}, {PWM}, f AS (SELECT flag, 2 - a0 / (a0 - 2 * a1) AS shape, 2 * a0 * a1 / (a0 - 2 * a1) AS scale FROM m), p AS (SELECT l_orderkey AS o, l_linenumber AS ln, l_returnflag AS flag, l_extendedprice AS v FROM lineitem WHERE l_orderkey % 100 = 0)
+@query(f"""WITH {EXCESS}, {PWM}, f AS (SELECT flag, 2 - a0 / (a0 - 2 * a1) AS shape, 2 * a0 * a1 / (a0 - 2 * a1) AS scale FROM m), p AS (SELECT l_orderkey AS o, l_linenumber AS ln, l_returnflag AS flag, l_extendedprice AS v FROM lineitem)
 SELECT o, ln, round(CASE WHEN v <= u THEN -1 ELSE least(1 - 1e-9, 1 - 0.1 * CASE WHEN abs(shape) < 1e-9 THEN exp(-(v - u) / scale) WHEN 1 + shape * (v - u) / scale <= 0 THEN 0 ELSE pow(1 + shape * (v - u) / scale, -1 / shape) END) END, 5) AS tail FROM p JOIN q USING (flag) JOIN f USING (flag)""")
 def tail_percentile(spark, d):
     """Percentile above the 90 % threshold by the fitted tail (-1: below it)."""
     _, cut, excess = excesses(spark, d)
-    fit = P.gpd_fit(excess, "flag")
-    rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice").where("l_orderkey % 100 = 0").withColumnRenamed("l_returnflag", "flag")
+    fit = P.tail_fit(excess, "flag")
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice").withColumnRenamed("l_returnflag", "flag")
     rows = rows.join(F.broadcast(cut), "flag").join(F.broadcast(fit), "flag")  # one row per flag
     tail = P.tail_percentile(F.col("l_extendedprice"), F.lit(-1.0), F.col("u"), F.col("shape"), F.col("scale"))
     return rows.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"), F.round(tail, 5).alias("tail"))
@@ -114,11 +116,12 @@ def score_axes(spark, d):
     )
 
 
-U = "(('0x' || left(md5('7:' || source || ':' || r || ':' || i), 8))::BIGINT + 0.5) / 4294967296.0"
+U = "(('0x' || left(md5('7:' || source || ':' || r || ':' || doc_id), 8))::BIGINT + 0.5) / 4294967296.0"
+POISSON = "CASE " + " ".join(f"WHEN u < {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r} THEN {k}" for k in range(12)) + " ELSE 12 END"
 
 
-@query(f"""WITH g AS (SELECT source, list(CAST(n_chars AS DOUBLE) ORDER BY doc_id) AS v FROM documents GROUP BY source), r AS (SELECT source, v, unnest(range(1, 101)) AS r FROM g), i AS (SELECT source, v, r, unnest(range(1, len(v) + 1)) AS i FROM r),
-m AS (SELECT source, r, sum(v[CAST(floor({U} * len(v)) AS BIGINT) + 1]) / max(len(v)) AS m FROM i GROUP BY 1, 2) SELECT source, round(quantile_cont(m, 0.05), 4) AS lo, round(quantile_cont(m, 0.95), 4) AS hi FROM m GROUP BY source""")
+@query(f"""WITH i AS (SELECT source, r, CAST(n_chars AS DOUBLE) AS v, {U} AS u FROM documents, (SELECT unnest(range(1, 101)) AS r)), w AS (SELECT source, r, v, {POISSON} AS w FROM i),
+m AS (SELECT source, r, sum(w * v) / sum(w) AS m FROM w GROUP BY 1, 2 HAVING sum(w) > 0) SELECT source, round(quantile_cont(m, 0.05), 4) AS lo, round(quantile_cont(m, 0.95), 4) AS hi FROM m GROUP BY source""")
 def bootstrap_ci(spark, d):
     rows = table(spark, d, "documents", "doc_id", "source", "n_chars").select("source", F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("value"))
     return P.bootstrap(rows, "source", 100).select("source", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
@@ -175,7 +178,15 @@ def budget_fraction(spark, d):
     return table(spark, d, "events", "user_id", "ts", "value").groupBy("user_id").agg(F.round(used, 6).alias("used"), F.round(F.sum("value") * 0.002 / 1000, 8).alias("cost"))
 
 
-@query()
+PLACEHOLDERS = """SELECT kind, CAST(i AS BIGINT) AS i, round(CASE kind WHEN 'crowding' THEN 0.05 + 0.9 * pow(u, 1.6) WHEN 'rcs' THEN 1.6 * u * u WHEN 'headline' THEN 100 * pow(u, 1.1) ELSE x END, 4) AS value, true AS placeholder FROM (SELECT *, (i + 0.5) / 300 AS u,
+sqrt(2) * 1.2 * CASE WHEN t < 0 THEN -e ELSE e END AS x FROM (SELECT *, 1 - (0.254829592 * k - 0.284496736 * k ** 2 + 1.421413741 * k ** 3 - 1.453152027 * k ** 4 + 1.061405429 * k ** 5) * exp(-t * t) AS e FROM (SELECT *, 1 / (1 + 0.3275911 * abs(t)) AS k FROM
+(SELECT *, 2 * (i + 0.5) / 300 - 1 AS t FROM (SELECT unnest(range(300)) AS i), (SELECT unnest(['crowding', 'rcs', 'headline', 'curvature']) AS kind)))))"""
+
+
+@query(PLACEHOLDERS)
 def placeholder_cdf(spark, d):
-    """A deterministic synthetic reference of 300 values, flagged as such."""
-    return spark.range(300).select((F.col("id") + 0.5).alias("rank"), F.round(F.pow((F.col("id") + 0.5) / 300, F.lit(1.7)), 6).alias("value"), F.lit(True).alias("placeholder"))
+    """Deterministic synthetic references of 300 values for each instrument, flagged as such."""
+    u, t = (F.col("i") + 0.5) / 300, 2 * (F.col("i") + 0.5) / 300 - 1
+    value = F.when(F.col("kind") == "crowding", 0.05 + 0.9 * F.pow(u, F.lit(1.6))).when(F.col("kind") == "rcs", 1.6 * u * u).when(F.col("kind") == "headline", 100 * F.pow(u, F.lit(1.1))).otherwise(math.sqrt(2) * 1.2 * S.erf(t))
+    kinds = F.explode(F.array(*(F.lit(k) for k in ("crowding", "rcs", "headline", "curvature"))))
+    return spark.range(300).select(F.col("id").alias("i"), kinds.alias("kind")).select("kind", "i", F.round(value, 4).alias("value"), F.lit(True).alias("placeholder"))

@@ -32,9 +32,21 @@ def split_quarantine(df: DataFrame, error: F.Column, vector_cols: tuple[str, ...
     return marked.where("ingest_error is null").drop("ingest_error"), marked.where("ingest_error is not null").drop(*vector_cols)
 
 
-def resume_after(df: DataFrame, order: list, offset: int) -> DataFrame:
-    """Rows after ``offset`` of a deterministic order. The numbers come from one sorted partition only where the order has no key to range on; prefer a keyset."""
-    return df.withColumn("__n", F.row_number().over(Window.orderBy(*order))).where(F.col("__n") > offset).drop("__n")
+def resume_after(df: DataFrame, order: list, offset: int, ranges: int = 64) -> DataFrame:
+    """Rows after ``offset`` of a deterministic order. The order is cut into ranges by its first column; rows are numbered within the range that holds the offset only,
+    and later ranges pass whole, so no task sorts all rows. (A keyset needs no numbering at all.)"""
+    if offset <= 0:
+        return df
+    lead = order[0]
+    counts = df.groupBy(lead).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(lead).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = counts.withColumn("before", before).where(F.col("before") <= offset).agg(F.max("before").alias("before"), F.max(lead).alias("lead")).first()
+    if at["before"] is None:
+        return df
+    rest = df.where(F.col(lead).isNotNull() if at["lead"] is None else F.col(lead) > F.lit(at["lead"]))  # nulls come first
+    same = df.where(F.col(lead).eqNullSafe(F.lit(at["lead"])))
+    numbered = same.withColumn("__n", F.row_number().over(Window.orderBy(*order))).where(F.col("__n") > offset - at["before"]).drop("__n")
+    return rest.unionByName(numbered)
 
 
 def keyset_page(df: DataFrame, year: str, rid: str, after: tuple | None, size: int) -> DataFrame:
