@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import html
 import re
@@ -9,21 +10,46 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
-HEADING = re.compile(r"^\s*(#{1,6}\s+(?P<md>.+?)\s*#*|(?P<caps>[A-Z][A-Z0-9 '’&/-]{2,58})|(?P<plain>[^.!?]{2,60}[:?]?))\s*$")
-# Section names by the words that head them.
+# Sections by the headings that open them (lower case, straight quotes, without marks), in the order of trial.
 SECTIONS = [
-    ("inspiration", r"inspiration|motivation|why we built|the problem|problem( statement)?|background"),
-    ("what_it_does", r"what it does|what does it do|overview|about( the project)?|description|summary|features|the solution|solution|our solution"),
-    ("how_built", r"how (we|i) (built|made|created) (it|this)|how it (works|was built)|implementation|architecture|tech(nical)? (stack|details)|technologies( used)?"),
-    ("challenges", r"challenges( (we|i) (ran into|faced))?|difficulties|obstacles"),
-    ("accomplishments", r"accomplishments( that (we'?re|i'?m) proud of)?|achievements|what (we'?re|i'?m) proud of"),
-    ("learned", r"what (we|i) learned|lessons( learned)?|learnings|takeaways"),
-    ("next", r"what'?s next( for .*)?|future( work| plans)?|next steps|roadmap"),
-    ("built_with", r"built with|tech stack|tools used"),
+    ("inspiration", r"(our |the |my )?inspirations?"),
+    ("inspiration", r"what inspired (us|me)"),
+    ("inspiration", r".{1,40}[-:] inspiration"),
+    ("what_it_does", r"what (it|this|the \w+|our \w+) does( \(.{1,30}\))?"),
+    ("what_it_does", r"what does (it|this) do"),
+    ("what_it_does", r"what it does .{1,30} do"),
+    ("what_it_does", r"what is (?!next\b|the\b|our\b|a\b|an\b)[\w.&'-]+( [\w.&'-]+){0,3}"),
+    ("what_it_does", r"(project |product )?(overview|description|summary)"),
+    ("what_it_does", r"about( the| this| our)? (project|app|product|game|tool)"),
+    ("what_it_does", r"(the |our )?solution"),
+    ("how_it_works", r"how (it|this) works"),
+    ("how_it_works", r"how to use( it)?"),
+    ("how_it_works", r"(key |main |core )?features"),
+    ("how_we_built_it", r"how (we|i|it was|it is|it's|the team) (buil[dt]|made|developed|created)( it| this)?"),
+    ("how_we_built_it", r"(the |our )?(tech(nology)? stack|technical implementation|implementation|architecture)"),
+    ("how_we_built_it", r"technolog(y|ies) used"),
+    ("challenges", r"(the |our )?challenges?( (we|i) (ran into|faced|encountered|had|overcame))?"),
+    ("accomplishments", r"accomplishments?( that)?( (we're|we are|i'm|i am|were) (most )?proud of)?"),
+    ("accomplishments", r"what (we're|we are|i'm|i am) proud of"),
+    ("what_we_learned", r"what (we|i)( have|'ve)? (learned|learnt)"),
+    ("what_we_learned", r"(key )?(lessons|learnings|takeaways)( learned)?"),
+    ("whats_next", r"what's next( for .{0,80})?"),
+    ("whats_next", r"what is next( for .{0,80})?"),
+    ("whats_next", r"(next steps|future work|future plans|future scope|roadmap)"),
+    ("problem", r"(the |our )?problem( statement)?( we('re| are) solving)?"),
+    ("built_with", r"built with"),
+    ("try_it_out", r"try it out"),
 ]
-_SECTIONS = [(name, re.compile(rf"^(?:{pattern})$", re.I)) for name, pattern in SECTIONS]
+# Sections that make up a pitch, in order; those that a line with text behind its heading doesn't open; longest heading.
+PITCH_ORDER = ("what_it_does", "how_it_works", "problem", "preamble", "inspiration", "how_we_built_it")
+NEVER_INLINE, LONGEST_HEADING = ("built_with", "try_it_out"), 90
+_SECTIONS = [(name, re.compile(pattern)) for name, pattern in SECTIONS]
+_MARKS = re.compile(r"^[\s#>*_`~•·|–—-]+|[\s#*_`~:.|?!–—-]+$")
+_NUMBERED = re.compile(r"^\(?\d{1,2}[.)]\s+")
+_MARKED = re.compile(r"\s{0,3}#{1,6}\s+\S|(\*\*|__).{2,70}\1:?\s*$")
+_INLINE = re.compile(r"([^:\n]{3,60}?)\s*[:–—-]\s+(\S.{15,})$")
 BLOCKS = re.compile(r"</?(?:p|div|section|article|ul|ol|table|tr|h[1-6]|header|footer|main|blockquote|pre)\b[^>]*>", re.I)
 DROPPED = re.compile(r"<(script|style|noscript|template|iframe|svg|figure|video|audio|button)\b[\s\S]*?</\1\s*>|<!--[\s\S]*?-->", re.I)
 
@@ -40,16 +66,29 @@ def html_to_text_one(page: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-def heading_of(line: str) -> str | None:
-    """Section name of a heading line, ``other:slug`` for unknown marked headings, None for prose."""
-    m = HEADING.match(line)
-    if not m:
-        return None
-    words = re.sub(r"\s+", " ", (m["md"] or m["caps"] or m["plain"]).strip().rstrip(":?").replace("’", "'")).strip("*_ ")
-    for name, pattern in _SECTIONS:
-        if pattern.match(words):
-            return name
-    return "other:" + re.sub(r"[^a-z0-9]+", "-", words.lower()).strip("-") if m["md"] else None
+def bare_heading(line: str) -> str:
+    """A line as a heading: lower case, straight quotes, without symbols, marks and numbering."""
+    words = "".join(c for c in line if unicodedata.category(c) not in ("So", "Sk", "Cs", "Co") and c not in "\ufe0f\u200d\u20e3")
+    words = re.sub(r"\[([^\]]+)\]\([^)]*\)", r"\1", words).translate(str.maketrans("’‘`", "'" * 3))
+    words = _MARKS.sub("", _NUMBERED.sub("", _MARKS.sub("", words)))
+    return re.sub(r"\s+", " ", words).strip().lower()
+
+
+def known_heading(line: str) -> str | None:
+    bare = bare_heading(line) if 0 < len(line.strip()) <= LONGEST_HEADING else ""
+    return next((name for name, pattern in _SECTIONS if pattern.fullmatch(bare)), None) if bare else None
+
+
+def heading_of(line: str) -> tuple[str, str] | None:
+    """(section, text behind the heading on its line) of a heading line, ``other:slug`` for unknown marked ones; None for prose."""
+    if name := known_heading(line):
+        return name, ""
+    if m := _INLINE.match(line.strip()):
+        name = known_heading(m[1])
+        if name and name not in NEVER_INLINE:
+            return name, m[2]
+    slug = re.sub(r"[^a-z0-9]+", "_", bare_heading(line)).strip("_") if _MARKED.match(line) else ""
+    return (f"other:{slug}", "") if slug else None
 
 
 def sections_one(text: str | None) -> dict[str, str]:
@@ -57,12 +96,13 @@ def sections_one(text: str | None) -> dict[str, str]:
     out: dict[str, list[str]] = {}
     name = "preamble"
     for line in (text or "").split("\n"):
-        found = heading_of(line) if line.strip() else None
+        found = heading_of(line)
         if found:
-            name = found
-        else:
-            out.setdefault(name, []).append(line)
-    joined = {k: "\n".join(v).strip() for k, v in out.items()}
+            name, line = found
+            if not line:
+                continue
+        out.setdefault(name, []).append(line)
+    joined = {k: re.sub(r"\n{3,}", "\n\n", "\n".join(v)).strip() for k, v in out.items()}
     return {k: v for k, v in joined.items() if v}
 
 
@@ -79,20 +119,67 @@ def prose_one(text: str | None) -> str | None:
 
 
 def pitch_one(title: str | None, tagline: str | None, sections: dict | None, least: int = 300, cap: int = 1500) -> str:
-    """Title, tagline and the first sections until the text is long enough; no line breaks, capped at a sentence end."""
-    parts, seen = [], set()
-    order = ["preamble", "what_it_does", "inspiration", "how_built", "next"]
-    for x in [title, tagline, *((sections or {}).get(k) for k in order)]:
-        plain = prose_one(x) if x else ""
-        if plain and plain.lower() not in seen and (len(parts) < 2 or len(" ".join(parts)) < least):
-            seen.add(plain.lower())
-            parts.append(plain if plain[-1] in ".!?" else plain + ".")
-    text = " ".join(parts)
+    """Title, tagline and the sections of PITCH_ORDER until their text makes ``least`` characters; no line breaks, capped at a sentence end."""
+    title, tagline = (re.sub(r"\s+", " ", x or "").strip() for x in (title, tagline))
+    parts = [x for x in (title, tagline if tagline.lower() != title.lower() else "") if x]
+    size = 0
+    for name in PITCH_ORDER:
+        lines = [x for x in ((sections or {}).get(name) or "").split("\n") if not title or bare_heading(x) != title.lower()]
+        body = prose_one("\n".join(lines)) or ""
+        if len(body) < 25 or any(body.lower() == p.lower() for p in parts):
+            continue
+        if tagline in parts[1:] and body.lower().startswith(tagline.lower()):
+            parts.remove(tagline)  # the body says it again
+        parts.append(body)
+        size += len(body)
+        if size >= least:
+            break
+    text = ""
+    for part in parts:
+        text = f"{text}{'.' if text and text[-1] not in '.!?:…' else ''} {part}".strip()
     if len(text) <= cap:
         return text
-    head = text[:cap]
-    end = max(head.rfind(". "), head.rfind("! "), head.rfind("? ")) + 1
-    return head[:end] if end * 2 >= cap else head[: cap - 1].rsplit(" ", 1)[0] + "…"
+    ends = [m.end() for m in re.finditer(r"[.!?…][\"')\]]?(?=\s|$)", text[:cap])]
+    if ends and ends[-1] * 2 >= cap:
+        return text[: ends[-1]].rstrip()
+    blank = text[:cap].rfind(" ")
+    return text[: blank if blank * 2 > cap else cap - 1].rstrip(" ,;:-") + "…"
+
+
+class PlainText:
+    """Text without markup of characters (case, kinds of quotes and blanks), with the place in the original of every character."""
+
+    def __init__(self, text: str):
+        out: list[str] = []
+        self.origin: list[int] = []
+        for i, c in enumerate(text):
+            plain = re.sub(r"\s+", " ", normalise_chars_one(c).casefold())
+            if plain == " " and (not out or out[-1] == " "):
+                continue
+            out += plain
+            self.origin += [i] * len(plain)
+        self.text = "".join(out).rstrip(" ")
+
+    def find(self, needle: str, start: int = 0) -> tuple[int, int] | None:
+        """Original (start, end) of the first occurrence at or behind the original place ``start``."""
+        want = PlainText(needle).text
+        at = self.text.find(want, bisect.bisect_left(self.origin, start)) if want else -1
+        return None if at < 0 else (self.origin[at], self.origin[at + len(want) - 1] + 1)
+
+
+def located_one(text: str, sentences: list[str]) -> list[tuple[int, int] | None]:
+    """Places of sentences in a text, in order: as they stand, else as plain text, else from the start on; None where a sentence isn't there."""
+    out, plain, cursor = [], None, 0
+    for sentence in (s.strip() for s in sentences):
+        at = text.find(sentence, cursor) if sentence else -1
+        span = (at, at + len(sentence)) if at >= 0 else None
+        if sentence and span is None:
+            plain = plain or PlainText(text)
+            span = plain.find(sentence, cursor) or plain.find(sentence)
+        if span and span[0] >= cursor:
+            cursor = span[1]
+        out.append(span)
+    return out
 
 
 def normalise_chars_one(text: str | None) -> str | None:
@@ -140,6 +227,24 @@ def parse_sections(text: pd.Series) -> pd.Series:
     return text.map(sections_one)
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
+def locate_sentences(text: pd.Series, quote: pd.Series) -> pd.Series:
+    """Places of the quote's sentences in the text."""
+    cut = lambda q: [x for x in re.findall(r"[^.!?]*[.!?]+\s*|[^.!?]+$", q or "") if x.strip()]
+    return pd.Series([[{"start": a, "end": b} for a, b in (x or (None, None) for x in located_one(t or "", cut(q)))] for t, q in zip(text, quote, strict=True)], dtype=object)
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("sections", MapType(StringType(), StringType())), StructField("pitch", StringType())]))
+def page_parts(title: pd.Series, tagline: pd.Series, page: pd.Series) -> pd.DataFrame:
+    """Text, sections and pitch of a page in one pass through Python."""
+    rows = []
+    for name, line, raw in zip(title, tagline, page, strict=True):
+        text = normalise_chars_one(html_to_text_one(raw))
+        sections = sections_one(text)
+        rows.append((text, sections, pitch_one(name, line, sections)))
+    return pd.DataFrame(rows, columns=["text", "sections", "pitch"])
+
+
 @F.pandas_udf(StringType())
 def build_pitch(title: pd.Series, tagline: pd.Series, sections: pd.Series) -> pd.Series:
     return pd.Series([pitch_one(a, b, dict(c) if c is not None else None) for a, b, c in zip(title, tagline, sections, strict=True)], dtype=object)

@@ -46,6 +46,14 @@ def decide(pairs: DataFrame, adjudicated: int = 8) -> DataFrame:
     return pairs.join(F.broadcast(asked), ["a", "b"], "left").withColumn("verdict", F.when(F.col("url_xref"), "same").when(F.col("asked"), "ask").otherwise("ignored")).drop("asked")
 
 
+def decide_capped(pairs: DataFrame, most: int = 24, asked: int = 16) -> DataFrame:
+    """Verdicts of open pairs (a, b, sim) under a cap: the ``asked`` most similar are judged, unless more than ``most`` are open."""
+    first = pairs.orderBy(F.desc("sim"), "a", "b").limit(most + 1).select("a", "b", "sim")  # a bounded top-k
+    count = first.agg(F.count(F.lit(1)).alias("open"))
+    few = first.crossJoin(F.broadcast(count)).where(F.col("open") <= most).orderBy(F.desc("sim"), "a", "b").limit(asked).select("a", "b", F.lit(True).alias("ask"))
+    return pairs.join(F.broadcast(few), ["a", "b"], "left").withColumn("verdict", F.when(F.col("ask"), "ask").otherwise("unadjudicated")).drop("ask")
+
+
 def components(nodes: DataFrame, edges: DataFrame, spark_dir: str | None = None) -> DataFrame:
     """(id, component): smallest id that edges (a, b) reach. Labels spread along edges and jump to their labels' labels, so rounds grow with the logarithm of the diameter."""
     from .storage import discard, step

@@ -100,10 +100,11 @@ def html_to_text(spark, d):
 
 @query()
 def page_pitches(spark, d):
-    """Cleaned text, sections and pitch of each page."""
-    rows = table(spark, d, "pages").withColumn("text", U.normalise_chars(U.html_to_text("html")))
-    rows = rows.withColumns({"sections": U.parse_sections("text"), "title": T.normalise_ws(F.regexp_extract("html", r"(?i)<title[^>]*>([\s\S]*?)</title>", 1))})
-    return rows.select("page_id", "title", F.map_keys("sections").alias("section_names"), U.build_pitch("title", F.lit(None).cast("string"), "sections").alias("pitch"))
+    """Sections and pitch of each page; the first heading is its tagline where it isn't the title."""
+    tag = lambda name: T.normalise_ws(F.regexp_replace(F.regexp_extract("html", rf"(?i)<{name}[^>]*>([\s\S]*?)</{name}>", 1), "<[^>]+>", " "))
+    rows = table(spark, d, "pages").select("page_id", tag("title").alias("title"), tag("h1").alias("tagline"), "html")
+    parts = rows.select("page_id", "title", U.page_parts("title", "tagline", "html").alias("x"))
+    return parts.select("page_id", "title", F.map_keys("x.sections").alias("section_names"), F.col("x.pitch").alias("pitch"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, CAST(CASE WHEN length(trim(text)) > 0 THEN len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) ELSE 0 END AS INT) AS n_words FROM documents")

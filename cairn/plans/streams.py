@@ -69,10 +69,40 @@ def stream_daily_counts(spark, d):
     return V.tumbling(out, "1 day", ["event_type"]).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
-@query("SELECT user_id, max(event_id) AS last_seq, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+RECOVERY = "WITH g AS (SELECT user_id, max(event_id) AS last_seq, count(*) AS n, sum(value) AS total FROM events GROUP BY user_id), f AS (SELECT user_id, event_id, count(*) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS clicks, event_type FROM events), e AS (SELECT user_id, arg_max(clicks, event_id) AS clicks FROM f WHERE event_type = 'error' GROUP BY user_id)"
+
+
+@query(f"{RECOVERY} SELECT user_id, last_seq, n, round(total, 4) AS total, CASE WHEN clicks IS NULL THEN 'running' WHEN clicks > 0 THEN 'recovered' ELSE 'failed' END AS status FROM g LEFT JOIN e USING (user_id)")
 def event_fold_state(spark, d):
     state = V.fold_state(events(spark, d).select("user_id", "event_id", "event_type", "value"))
-    return state.select("user_id", "last_seq", "n", F.round("total", 4).alias("total"))
+    return state.select("user_id", "last_seq", "n", F.round("total", 4).alias("total"), "status")
+
+
+@query("""SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, round(epoch(max(ts)) - epoch(min(ts)), 3) AS elapsed, count(*) FILTER (WHERE event_type = 'click') AS tool_calls, count(*) FILTER (WHERE event_type = 'view') AS records, count(*) FILTER (WHERE event_type = 'error') AS errors,
+round(coalesce(sum(value) FILTER (WHERE event_type = 'purchase'), 0), 4) AS spent, arg_max(CAST(json_extract(props, '$.k') AS INT), event_id) FILTER (WHERE event_type = 'signup') AS "left", CASE WHEN arg_max(event_type, event_id) = 'purchase' THEN 'finished'
+WHEN max(event_id) FILTER (WHERE event_type = 'error') > coalesce(max(event_id) FILTER (WHERE event_type = 'click'), -1) THEN 'failed' WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'recovered' ELSE 'running' END AS phase, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS types FROM events GROUP BY user_id""")
+def run_state(spark, d):
+    """State of each run by field, as a reducer over its events leaves it."""
+    rows = V.run_state(events(spark, d))
+    return rows.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), F.round("elapsed", 3).alias("elapsed"), "tool_calls", "records", "errors", F.round("spent", 4).alias("spent"), "left", "phase", F.array_join("types", ",").alias("types"))
+
+
+@query("WITH a AS (SELECT user_id, min(event_id) AS after FROM events WHERE event_type = 'purchase' GROUP BY user_id) SELECT user_id, event_id FROM events LEFT JOIN a USING (user_id) WHERE after IS NULL OR event_id > after")
+def resume_after_event(spark, d):
+    """The backlog of readers that have acknowledged everything up to their first purchase."""
+    e = events(spark, d)
+    seen = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("event_id").alias("after"))
+    return V.resume_after(e.select("user_id", "event_id"), seen)
+
+
+@query("""WITH e AS (SELECT user_id AS key, event_id // 3 AS id, CASE event_type WHEN 'purchase' THEN 'commit' WHEN 'error' THEN 'release' ELSE 'reserve' END AS op, value AS amount, ts FROM events), g AS (SELECT key, id, max(amount) FILTER (WHERE op = 'reserve') AS r, max(amount) FILTER (WHERE op = 'commit') AS c, max(amount) FILTER (WHERE op = 'release') AS x,
+max(ts) FILTER (WHERE op = 'reserve') AS since FROM e GROUP BY 1, 2), s AS (SELECT *, r IS NOT NULL AND c IS NULL AND x IS NULL AS o, since > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 15 MINUTE AS f FROM g)
+SELECT key, round(coalesce(sum(c), 0), 4) AS committed, round(coalesce(sum(r) FILTER (WHERE o AND f), 0), 4) AS held, round(coalesce(sum(r) FILTER (WHERE o AND NOT f), 0), 4) AS expired FROM s GROUP BY key""")
+def reservation_ledger(spark, d):
+    """Reserved, committed and released amounts at a point in time; reservations expire after 15 minutes."""
+    op = F.when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "error", "release").otherwise("reserve")
+    rows = events(spark, d).select(F.col("user_id").alias("key"), F.floor(F.col("event_id") / 3).alias("id"), op.alias("op"), F.col("value").alias("amount"), F.col("ts").cast("timestamp").alias("ts"))
+    return V.reservations(rows, F.lit("2024-01-20 12:00:00").cast("timestamp")).select("key", *(F.round(c, 4).alias(c) for c in ("committed", "held", "expired")))
 
 
 @query("SELECT user_id, max_by(event_type, event_id) AS last_type, min_by(event_type, event_id) AS first_type, count(*) AS n FROM events GROUP BY user_id")
@@ -87,17 +117,37 @@ DOCS = "docs AS (SELECT doc_id AS rid, source AS topic, DATE '2024-01-01' + CAST
 
 @query(f"WITH {DOCS} SELECT watch_id, rid, CAST(rank AS INT) AS rank FROM (SELECT watch_id, rid, row_number() OVER (PARTITION BY watch_id ORDER BY score DESC, rid) AS rank FROM docs JOIN w ON topic = wanted AND first_seen > last_checked WHERE active AND score >= threshold AND NOT flagged) WHERE rank <= 5")
 def watch_recheck(spark, d):
+    docs, watches = watched(spark, d)
+    return V.watch_hits(docs, watches).select("watch_id", "rid", "rank")
+
+
+def watched(spark, d):
     i = F.col("id").cast("int")
     watches = spark.range(10).select(i.alias("watch_id"), F.concat(F.lit("src"), i.cast("string")).alias("wanted"), F.date_add(F.lit("2024-01-20").cast("date"), i).alias("last_checked"), (0.3 + i / 20.0).alias("threshold"), (i != 3).alias("active"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("rid"), F.col("source").alias("topic"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).alias("first_seen"), (F.col("doc_id") % 100 / 100.0).alias("score"), (F.col("n_chars") < 250).alias("flagged"))
-    return V.watch_hits(docs, watches).select("watch_id", "rid", "rank")
+    return docs, watches
+
+
+@query(f"WITH {DOCS}, b AS (SELECT *, rid % 2 AS batch FROM docs), h AS (SELECT watch_id, rid, row_number() OVER (PARTITION BY watch_id, batch ORDER BY score DESC, rid) AS rank FROM b JOIN w ON topic = wanted AND first_seen > last_checked WHERE active AND score >= threshold AND NOT flagged), m AS (SELECT max(first_seen) AS newest FROM docs) SELECT w.watch_id, strftime(greatest(last_checked, newest), '%Y-%m-%d') AS cursor, (SELECT count(*) FROM h WHERE h.watch_id = w.watch_id AND rank <= 5) AS alerts FROM w, m")
+def stream_watch_alerts(spark, d):
+    """*stream*: watches are re-checked against two batches of documents; alerts go to a sink and the cursors move on."""
+    folder = f"{shared_dir(spark)}/watch-{uuid.uuid4().hex}"
+    docs, watches = watched(spark, d)
+    for k in (0, 1):
+        docs.where(F.col("rid") % 2 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    V.watch_stream(stream, watches, folder)
+    cursors = spark.read.parquet(f"{folder}/cursors").groupBy("watch_id").agg(F.date_format(F.max("cursor"), "yyyy-MM-dd").alias("cursor"))
+    alerts = spark.read.parquet(f"{folder}/alerts").groupBy("watch_id").agg(F.count(F.lit(1)).alias("n"))
+    return cursors.join(alerts, "watch_id", "left").select("watch_id", "cursor", F.coalesce("n", F.lit(0)).alias("alerts"))
 
 
-@query("SELECT event_type, n FROM (SELECT event_type, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1 EXCEPT ALL SELECT event_type, count(*) FROM events WHERE event_id % 2 = 1 GROUP BY 1)")
+@query("SELECT event_type, count(*) FILTER (WHERE event_id % 2 = 0) AS here, count(*) FILTER (WHERE event_id % 2 = 1) AS there FROM events GROUP BY 1 HAVING here <> there")
 def multiset_parity(spark, d):
-    """Event types that two hosts didn't emit equally often."""
-    count = lambda r: events(spark, d).where(F.col("event_id") % 2 == r).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return count(0).exceptAll(count(1))
+    """Event types that two hosts didn't emit equally often, with the counts of both: one aggregation tells both directions."""
+    host = F.col("event_id") % 2
+    g = events(spark, d).groupBy("event_type").agg(F.count_if(host == 0).alias("here"), F.count_if(host == 1).alias("there"))
+    return g.where("here <> there")
 
 
 GRAPH = "p AS (SELECT user_id % 40 AS node, event_id AS seq, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'upsert' END AS op, round(value, 4) AS value FROM events), l AS (SELECT node, max_by(op, seq) AS op, max_by(value, seq) AS value FROM p GROUP BY node)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import stats as S
 from cairn.functions import text as T
 from cairn.functions import udfs as U
+from cairn.operators import corpus as C
 from cairn.operators import evidence as E
 from cairn.operators import resolve as R
 from cairn.operators import scoring as P
@@ -43,10 +44,58 @@ def test_idf_and_npmi(spark):
 
 
 def test_idea_terms_and_cliches(spark):
-    terms = T.idea_terms(F.lit("AI flashcards for students studying from PDFs"))
-    assert sorted(one(spark, terms)) == ["flashcard", "pdf", "student", "studying"]
+    terms = T.idea_terms(F.lit("A beehive monitor that warns gardeners by radio"))
+    assert sorted(one(spark, terms)) == ["beehive", "gardener", "monitor", "radio", "warn"]
     share = lambda *c: T.cliche_overlap(terms, F.array(*map(F.lit, c)) if c else F.array().cast("array<string>"))
-    assert one(spark, share("flashcard", "student", "quiz"), share(), share("flashcards", "students", "study", "pdf")) == (0.5, 0.0, 1.0)
+    assert one(spark, share("gardener", "radio", "sensor"), share(), share("bees", "beehives", "radios", "warn", "gard")) == pytest.approx((0.4, 0.0, 0.8))
+
+
+def test_rerank_scores_and_grades(spark):
+    raw = [one(spark, S.from_rerank(F.lit(x))) for x in (1.4, 1.0, 0.5, 0.0, -2.0)]
+    assert raw == pytest.approx([0.4, 0.0, math.log(0.5), -1.0, -1.0])
+    floors = {"same": F.lit(0.4), "close": F.lit(0.2)}
+    g = lambda s, name: one(spark, S.graded(F.lit(s), F.lit(name).cast("string"), floors))
+    assert [g(-0.04, "same"), g(0.9, "same"), g(0.1, "close"), g(-0.5, None), g(1.5, "other")] == pytest.approx([0.39, 0.9, 0.225, 0.0, 1.0])
+    assert one(spark, S.match_scale(F.lit(0.156)), S.match_scale(F.lit(0.365))) == pytest.approx((0.5, 0.9))
+    sizes = spark.createDataFrame([(8000,), (52_400,), (99_999,), (100_000,), (10**7,)], "n long")
+    assert [r[0] for r in sizes.select(C.effective_min_global(F.col("n"))).collect()] == [25, 100, 191, 500, 500]
+    m = one(spark, S.moments(F.array(F.lit(math.log(0.5)), F.lit(math.log(0.25)))))
+    mean = (2 * math.log(0.5) + math.log(0.25)) / 3
+    assert m["mean"] == pytest.approx(mean) and m["variance"] == pytest.approx((2 * (math.log(0.5) - mean) ** 2 + (math.log(0.25) - mean) ** 2) / 3)
+    assert one(spark, S.moments(F.array(F.lit(-1.0)))) is None
+    agree = lambda a, b: one(spark, S.detector_agreement(F.lit(a).cast("string"), F.lit(b).cast("string")))
+    assert [agree("mixed", "ai"), agree("human", "ai"), agree("ai", "human"), agree(None, "ai"), agree("human", "human")] == ["agree", "disagree", "disagree", "unknown", "agree"]
+    assert [one(spark, S.curvature_class(F.lit(x).cast("double"))) for x in (0.95, 0.949, None)] == ["ai", "human", None]
+    drawn = spark.range(4000).select(S.resample_count(F.lit(50), F.lit(1000), F.col("id")).alias("k")).agg(F.avg("k"), F.stddev("k")).first()
+    assert abs(drawn[0] - 50) < 0.6 and abs(drawn[1] - math.sqrt(50 * 0.95)) < 0.5
+
+
+def test_terms_by_provenance(spark):
+    f = lambda listed, block, prose: tuple(one(spark, T.extract_terms(F.array(*map(F.lit, listed)) if listed else F.lit(None).cast("array<string>"), F.lit(block).cast("string"), F.lit(prose).cast("string"))))
+    assert f([" Rust ", "rust", ""], "x", "y") == (["rust"], "source")
+    assert f([], "Flask, Redis\nFlask", "react") == (["flask", "redis"], "normalized")
+    assert f([], None, "We wrote it in ReactJS, C++ and golang, on AWS; no javascripty things.") == (["react", "c++", "go", "amazon-web-services"], "imputed")
+    assert f([], None, "nothing") == ([], None)
+    sites = [["https://github.com/a/b", "https://demo.vercel.app/x", "https://own.example/"], ["https://youtu.be/q"], []]
+    rows = spark.createDataFrame([(x,) for x in sites], "l array<string>")
+    assert [r[0] for r in rows.select(T.product_site(F.col("l"))).collect()] == ["https://own.example/", None, None]
+    assert strings(spark, T.plain_url, ["HTTPS://www.Own.example/a/?q=1", "own.example/a#b", None]) == ["own.example/a", "own.example/a", ""]
+    assert strings(spark, lambda c: T.activity(c, F.lit("2024-06-01").cast("date")), ["2022-11-01T00:00:00Z", "2024-01-01T00:00:00Z", "soon", None]) == ["dormant", "active", "unknown", "unknown"]
+
+
+def test_cuts_and_places(spark):
+    text = "One sentence stands here. Another one follows it. A third."
+    cut = lambda n: one(spark, T.cut_at_sentence(F.lit(text), n))
+    assert [cut(100), cut(50), cut(30), cut(20)] == [text, "One sentence stands here. Another one follows it.", "One sentence stands here.", "One sentence stands"]
+    body = "Team photo\n\nhttps://own.example/pic\n\nWe measure the water in rivers and tell the town about it.\n\nMap\n\nIt runs on solar power."
+    assert one(spark, T.first_paragraphs(F.lit(body))) == "We measure the water in rivers and tell the town about it.\nMap\nIt runs on solar power."
+    assert one(spark, T.first_paragraphs(F.lit("Team photo\n\nMap"))) == ""
+    plain = U.PlainText("A  “quoted”\nWord – here")
+    assert plain.text == 'a "quoted" word - here' and plain.find('"QUOTED" word') == (3, 16) and plain.find("word", 13) is None and plain.find("absent") is None
+    assert U.located_one("First one. Second – one. First one.", ["First one.", "second - ONE.", "First one.", "Nowhere."]) == [(0, 10), (11, 24), (25, 35), None]
+    one_by_one = [len(r) for r in one(spark, F.transform(T.running_sums(F.sequence(F.lit(1), F.lit(1000))), lambda x: F.array(x)))]
+    assert len(one_by_one) == 1000 and one(spark, T.running_sums(F.sequence(F.lit(1), F.lit(1000))))[999] == 999 * 1000 // 2
+    assert one(spark, T.clean_text(F.lit("a &amp; b \\textbf{bold} $\\frac{1}{2}$"))) == "a & b bold 1/2"
 
 
 def test_crowding_and_midrank(spark):
@@ -69,13 +118,14 @@ def test_intervals_and_tails(spark):
     fit = P.gpd_fit(x, "g").first()
     assert abs(fit["shape"]) < 0.08 and abs(fit["scale"] - 2) < 0.2
     assert P.gpd_fit(x.limit(5), "g").first()["shape"] is None
+    assert P.gpd_fit(x.limit(15), "g").first()["shape"] is not None and P.tail_fit(x.limit(19), "g").first()["shape"] is None and P.tail_fit(x.limit(20), "g").first()["shape"] is not None
     assert one(spark, S.confidence(F.lit(1.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)), S.confidence(F.lit(1.0), F.lit(0.35), F.lit(1.0), F.lit(1.0))) == pytest.approx((1, 0.75))
 
 
 def test_urls_and_names(spark):
-    urls = ["https://www.GitHub.com/Acme/IdeaRadar.git/", "https://github.com", "http://a.org/x/?q=1#top", "https://news.ycombinator.com/item?id=7", "a.org"]
-    assert strings(spark, T.norm_url, urls) == ["github.com/acme/idearadar", None, "a.org/x", "news.ycombinator.com/item?id=7", "a.org"]
-    assert strings(spark, T.norm_name, ["Show HN: IdeaRadar – find ideas", "acme/idearadar", "A, b"]) == ["idearadar", "idearadar", "a"]
+    urls = ["HTTPS://www.github.com/Oak-Lab/TideClock.git/", "https://github.com", "http://a.org/x/?q=1#top", "https://news.ycombinator.com/item?id=7", "a.org"]
+    assert strings(spark, T.norm_url, urls) == ["github.com/oak-lab/tideclock", None, "a.org/x", "news.ycombinator.com/item?id=7", "a.org"]
+    assert strings(spark, T.norm_name, ["Ask HN: TideClock — when to sail", "oak-lab/tideclock", "A, b"]) == ["tideclock", "tideclock", "a"]
     assert one(spark, T.jaccard(T.trigrams(F.lit("idearadar")), T.trigrams(F.lit("idearadar")))) == 1.0
     links = F.array(*map(F.lit, ("github.com", "https://github.com/a/b.git", "https://github.com/a/b", "https://x.org/p?utm_source=a&k=1")))
     assert one(spark, T.normalise_links(links)) == ["https://github.com/a/b", "https://x.org/p?k=1"]
@@ -87,7 +137,7 @@ def test_lists_and_text(spark):
     assert strings(spark, T.parse_listish, ["['c#', 'unity']", "[]", "nan", "a, b"]) == [["c#", "unity"], [], [], ["a", "b"]]
     long = "One sentence here. " * 100
     assert len(one(spark, T.truncate_at_sentence(F.lit(long), 300))) <= 300
-    assert strings(spark, T.guess_lang, ["short", "the cat is on the mat and it was with the dog in the house", "der Hund ist nicht auf dem Dach und die Katze ist mit von zu"]) == ["und", "en", "de"]
+    assert strings(spark, T.guess_lang, ["short", "the cat is on the mat and it was with the dog in the house", "der Hund ist nicht auf dem Dach und die Katze ist mit von zu", "Сегодня мы идём в лес за грибами", "今日は天気がいいので散歩に行きましょうねとても", "o barco não sai com mau tempo mas os homens que vivem em terra, para sua sorte, por mais uma noite"]) == ["und", "en", "de", "ru", "ja", "pt"]
     spans = one(spark, T.sentence_spans(F.lit("One. Two! Three")))
     assert [(s["start"], s["end"], s["sentence"]) for s in spans] == [(0, 4, "One."), (5, 9, "Two!"), (10, 15, "Three")]
     assert one(spark, T.strip_markdown_inline(F.lit("**b** [t](u) `c`"))) == "b t c"
@@ -96,13 +146,15 @@ def test_lists_and_text(spark):
 
 
 def test_sections_and_pitch():
-    text = "Intro line here.\n## What it does\nIt finds ideas.\nCHALLENGES\nMany of them.\n## What it does\nAnd more.\n## Odd Thing\nx\n## Empty\n"
+    text = "Intro line here.\n## What it does\nIt finds ideas.\nCHALLENGES:\nMany of them.\n**2. What it does**\nAnd more.\n## Odd Thing\nx\n## Empty\nHow we built it: with glue and a lot of patience\nBuilt with: flask and other things of the kind\n"
     got = U.sections_one(text)
-    assert got["preamble"] == "Intro line here." and got["what_it_does"] == "It finds ideas.\nAnd more." and got["challenges"] == "Many of them." and got["other:odd-thing"] == "x" and len(got) == 4
-    assert U.heading_of("What’s next") == "next" and U.heading_of("This is a prose line about what we learned today.") is None
-    pitch = U.pitch_one("Radar", "finds ideas", {"what_it_does": "It works. " * 400})
-    assert pitch.startswith("Radar. finds ideas.") and len(pitch) <= 1500 and "\n" not in pitch
-    assert U.html_to_text_one("<h2>A &amp; B</h2><p>x<li>y<script>z</script>") == "## A & B\nx\n- y"
+    assert got == {"preamble": "Intro line here.", "what_it_does": "It finds ideas.\nAnd more.", "challenges": "Many of them.", "other:odd_thing": "x", "how_we_built_it": "with glue and a lot of patience\nBuilt with: flask and other things of the kind"}
+    assert U.known_heading("🚀 What’s next for TideClock?") == "whats_next" and U.heading_of("This is a prose line about what we learned today.") is None and U.known_heading("What is TideClock") == "what_it_does"
+    pitch = U.pitch_one("TideClock", "tells when to sail", {"what_it_does": "It works. " * 400})
+    assert pitch.startswith("TideClock. tells when to sail. It works.") and 1400 < len(pitch) <= 1500 and "\n" not in pitch and pitch.endswith(".")
+    assert U.pitch_one("TideClock", "Reads the tide tables of harbours", {"problem": "Reads the tide tables of harbours and warns sailors."}) == "TideClock. Reads the tide tables of harbours and warns sailors."
+    assert U.html_to_text_one("<h2>A &amp; B</h2><p>x<li>y<script>z</script>") == "## A & B\n\nx\n- y"
+    assert U.html_to_text_one("<div>one</div><div>two<br>three</div><figure>no</figure>") == "one\n\ntwo\nthree"
 
 
 def test_quotes(spark):
