@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as the sum of one full-dimensional codeword from each of ``LEVELS`` codebooks. Codebooks
-start from k-means on residuals, level by level, and are refitted together by least squares; codes come from a
+start from k-means on residuals, level by level, and are refitted by sweeps of least squares; codes come from a
 beam search over the codebooks. The index holds codes, the norms of the vector and of the coded vector, and the
 original vector. A query scores codes by table lookup (one inner product per codeword), corrected by the ratio of the
 stored norms, takes the best ``rerank`` distinct vectors of every block of rows, and scores those exactly in double
@@ -70,20 +70,21 @@ class Quantiser:
             fitted = fitted._refit(x, fitted.encode(x))
         return fitted
 
-    def _refit(self, x: np.ndarray, codes: np.ndarray) -> Quantiser:
-        """Codebooks that minimise the squared error for given codes, with a small ridge."""
-        levels, size, d = self.books.shape
-        flat = codes.astype(np.int64) + np.arange(levels) * size
-        gram, right = np.zeros((levels * size, levels * size)), np.zeros((levels * size, d))
-        for a in range(levels):
-            np.add.at(right, flat[:, a], x)
-            for b in range(levels):
-                pair = np.bincount(codes[:, a].astype(np.int64) * size + codes[:, b], minlength=size * size)
-                gram[a * size : (a + 1) * size, b * size : (b + 1) * size] = pair.reshape(size, size)
-        ridge = 1.0
-        old = self.books.reshape(levels * size, d).astype(np.float64)
-        solved = np.linalg.solve(gram + ridge * np.eye(levels * size), right + ridge * old)
-        return Quantiser(solved.reshape(levels, size, d))
+    def _refit(self, x: np.ndarray, codes: np.ndarray, sweeps: int = 3, ridge: float = 1.0) -> Quantiser:
+        """Codebooks of less squared error for given codes, with a small ridge: least squares of one codebook at a time, in sweeps, so memory stays that of the sample."""
+        old, books = self.books, self.books.copy()
+        rest = x - self.decode(codes)
+        for _ in range(sweeps):
+            for m in range(len(books)):
+                word = codes[:, m].astype(np.int64)
+                rest += books[m][word]
+                n = np.bincount(word, minlength=books.shape[1])
+                order, some = np.argsort(word, kind="stable"), np.flatnonzero(n)
+                books[m] = old[m]
+                sums = np.add.reduceat(rest[order], (np.cumsum(n) - n)[some], axis=0, dtype=np.float64)
+                books[m][some] = (sums + ridge * old[m][some]) / (n[some, None] + ridge)
+                rest -= books[m][word]
+        return Quantiser(books)
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """Codes (rows x levels, uint8) by beam search: each level keeps the ``beam`` best partial sums."""
