@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import io
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -289,6 +290,21 @@ def _patterns():
     return regex.compile(PRE_TOKEN), regex.compile("(?V1)" + careful)
 
 
+def _simple(letters: str, numbers: str, blanks: str) -> re.Pattern:
+    """The pre-token pattern over alphabets that are written out, for the faster standard library."""
+    return re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{numbers}]+| ?[^{letters}{numbers}{blanks}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+")
+
+
+#: Pre-tokens of ASCII texts, and of texts without the characters in _BEYOND: Latin letters up to U+024F and usual punctuation.
+_ASCII = _simple("A-Za-z", "0-9", r"\t\n\x0b\x0c\r ")
+_LATIN = _simple("A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", r"\t\n\x0b\x0c\r \x85\xa0")
+_BEYOND = re.compile("[^\x00-\u024f\u2010-\u2027]")
+
+
+def _pre_tokens(text: str, pattern) -> list[str]:
+    return (_ASCII if text.isascii() else pattern if _BEYOND.search(text) else _LATIN).findall(text)
+
+
 def _cut(text: str, pattern, added: list[str]) -> list[str]:
     """Pre-tokens of a text; added tokens are pieces of their own."""
     for token in added:
@@ -299,7 +315,7 @@ def _cut(text: str, pattern, added: list[str]) -> list[str]:
                 out.append(token)
                 out += _cut(piece, pattern, added)
             return out
-    return pattern.findall(text)
+    return _pre_tokens(text, pattern)
 
 
 class Encoder:
@@ -387,7 +403,7 @@ def count_pre_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 pattern = patterns[bool(len(data) and data.max() >= NEWER_LEAD)]
                 for text in batch.column(0).slice(first, n).to_pylist():
                     if text:
-                        tokens += pattern.findall(text)
+                        tokens += _pre_tokens(text, pattern)
                 words = pa.array(tokens, pa.string())
                 words = words.filter(pc.less_equal(pc.binary_length(words), LONGEST_WORD)).value_counts()
                 held.append(pa.RecordBatch.from_arrays([words.field("values"), words.field("counts")], names=["word", "n"]))

@@ -125,6 +125,16 @@ def test_merges_and_transducer():
     assert len(shared.final) == 9  # one state per distinct set of suffixes
 
 
+def test_pre_tokens_of_simple_texts():
+    pattern, rng = bpe._patterns()[0], random.Random(11)
+    latin = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028)]]
+    for alphabet in (latin[:128], latin, [*"ab1 2.,'\t\n", "é", "²", "\xa0", "\x85", "–", "ª", "\x1c"], [*"'stremvld \n"]):
+        for _ in range(2000):
+            text = "".join(rng.choices(alphabet, k=rng.randrange(1, 30)))
+            assert bpe._pre_tokens(text, pattern) == pattern.findall(text), repr(text)
+    assert bpe._pre_tokens("日本 é 12", pattern) == pattern.findall("日本 é 12")
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
