@@ -4,15 +4,18 @@ Three base patterns find assignments, access keys and hexadecimal runs. Besides,
 ``MIN_TOKEN`` token characters are candidates for secrets of no known form. For each candidate the encoding is
 inferred (the smallest alphabet that holds it) and three tests look for departures from uniform random symbols:
 chi-squared uniformity over the alphabet, runs above and below the alphabet's middle, and lag-1 serial
-correlation. Their p-values are combined by Bonferroni; a candidate that any of them rejects isn't random.
+correlation. Their p-values are combined by Bonferroni. Within each length class the Benjamini-Hochberg procedure at ``ALPHA``
+over all candidates of the corpus decides which of them aren't random; short ones, for which the tests say little, don't
+set the bar for long ones.
 
 What is left may still be natural text. Its p-value is the likelihood of the candidate as text over its likelihood as
 uniform symbols of its encoding, times the number of encodings: by Markov's inequality text falls below p with a
 chance of at most p. Text keeps its character class (lower, upper, digit, sign) with a rate of change of at most
 ``TEXT_CHANGES``, and its letters have the frequencies of one of ``LANGUAGES``; rate and language are those that fit the
 candidate best. The p-value falls with the length for every encoding but decimal: digits of text are as uniform
-as random ones, so nothing but a key's form or its assignment tells them apart. The Benjamini-Hochberg procedure controls the false discoveries at ``FDR``
-within each length class, over all candidates of the corpus, from a histogram of p-values whose size is fixed.
+as random ones, so nothing but a key's form or its assignment tells them apart. A second Benjamini-Hochberg procedure controls the false
+discoveries at ``FDR`` within each length class. A candidate is a secret that the second discovers as no text and the first leaves as random.
+Both read histograms of p-values whose size is fixed, over all candidates of the corpus.
 
 Spans are in code points, end exclusive, of whole texts. Base spans always stay; a random span is added
 where it overlaps none. Everything runs in the JVM: matches come from ``regexp_extract_all``, their offsets from
@@ -40,7 +43,7 @@ MIN_TOKEN = 20
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
 KINDS = ["assign", "access", "hex", "random"]
 
-#: Significance of the battery, rate of class changes in text, false-discovery rate.
+#: False-discovery rate of the battery (candidates taken for not random), rate of class changes in text, false-discovery rate of secrets.
 ALPHA, TEXT_CHANGES, FDR = 0.001, 0.2, 0.01
 #: Upper bounds of the length classes.
 LENGTH_CLASSES = [24, 32, 48, 64, 128, 256]
@@ -162,15 +165,23 @@ def p_bin(p: Column) -> Column:
     return F.least(F.lit(3000), F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-300))))).cast("int")
 
 
-def discoveries(candidates: DataFrame) -> DataFrame:
-    """(length_class, cutoff): per length class the lowest bin that Benjamini-Hochberg keeps. At most 7 x 3001 groups go through it."""
+def discoveries(candidates: DataFrame, bin_col: str, level: float) -> DataFrame:
+    """(length_class, cutoff): per length class the lowest bin that Benjamini-Hochberg at ``level`` keeps. At most 7 x 3001 groups go through it."""
     from pyspark.sql.window import Window
 
-    bins = candidates.groupBy("length_class", "bin").agg(F.count(F.lit(1)).alias("n"))
+    bins = candidates.groupBy("length_class", F.col(bin_col).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     down = Window.partitionBy("length_class").orderBy(F.desc("bin"))
     whole = Window.partitionBy("length_class")
     ranked = bins.withColumns({"below": F.sum("n").over(down), "total": F.sum("n").over(whole)})
-    return ranked.where(F.pow(F.lit(10.0), -F.col("bin") / 10) <= FDR * F.col("below") / F.col("total")).groupBy("length_class").agg(F.min("bin").alias("cutoff"))
+    return ranked.where(F.pow(F.lit(10.0), -F.col("bin") / 10) <= level * F.col("below") / F.col("total")).groupBy("length_class").agg(F.min("bin").alias("cutoff"))
+
+
+def beyond(cutoffs: DataFrame, bin_col: str) -> Column:
+    """Whether a candidate's bin reaches the cutoff of its length class."""
+    out = F.lit(False)
+    for c, cutoff in cutoffs.collect():  # a row for each length class
+        out = out | ((F.col("length_class") == c) & (F.col(bin_col) >= cutoff))
+    return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,13 +198,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # one pass over the texts; what follows reads only ids and spans
     found = materialize(df.select(F.col("doc_id"), F.expr("uuid()").alias("row"), *sizes, "base", "random"), "secret-spans")
     tokens = found.where(F.size("random") > 0).select("row", F.explode("random").alias("x")).select("row", "x.start", "x.end", F.col("x.match").alias("token"))
-    tested = battery(tokens).withColumns({"length_class": length_class(F.length("token")), "bin": p_bin(F.col("p_text"))})
-    tested = materialize(tested.select("row", "start", "end", "length_class", "bin", "p_random"), "secret-candidates")
-    cutoffs = {r[0]: r[1] for r in discoveries(tested).collect()}
-    keep = F.lit(False)
-    for c, cutoff in cutoffs.items():
-        keep = keep | ((F.col("length_class") == c) & (F.col("bin") >= cutoff))
-    kept = tested.where(keep & (F.col("p_random") >= ALPHA)).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("added"))
+    tested = battery(tokens).withColumns({"length_class": length_class(F.length("token")), "text_bin": p_bin(F.col("p_text")), "random_bin": p_bin(F.col("p_random"))})
+    tested = materialize(tested.select("row", "start", "end", "length_class", "text_bin", "random_bin"), "secret-candidates")
+    no_text, not_random = beyond(discoveries(tested, "text_bin", FDR), "text_bin"), beyond(discoveries(tested, "random_bin", ALPHA), "random_bin")
+    kept = tested.where(no_text & ~not_random).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("added"))
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     return found.join(kept, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base", spans.alias("spans"))
 

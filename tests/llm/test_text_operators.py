@@ -1,8 +1,10 @@
 """Operators 1, 2, 6 and 7 against brute force."""
 
 import hashlib
+import math
 import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -232,6 +234,70 @@ def test_secrets_of_one_class_or_few_changes(spark):
     assert {k: sum(v) for k, v in found.items() if sum(v) < 30} == {}
 
 
+def brute_battery(token):
+    """(p_random, p_text) of a token, test by test in plain Python."""
+    body = token.rstrip("=") or token
+    name, letters = next(((n, x) for n, x in secrets.ENCODINGS if all(c in x for c in body)), secrets.ENCODINGS[-1])
+    n, k = len(body), len(letters)
+    values = [letters.index(c) for c in body]
+    chi = sum((body.count(c) - n / k) ** 2 / (n / k) for c in letters)
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    p_uniform = upper((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
+    high = [v >= k / 2 for v in values]
+    h, runs = sum(high), 1 + sum(a != b for a, b in zip(high[:-1], high[1:]))
+    both = 2 * h * (n - h)
+    z_runs = (runs - both / n - 1) / math.sqrt(both * (both - n) / (n * n * (n - 1))) if both > n else math.sqrt(n)
+    mean = sum(values) / n
+    spread = sum((v - mean) ** 2 for v in values)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(values[:-1], values[1:]))
+    z_serial = (serial / spread + 1 / n) * math.sqrt(n) if spread > 1e-9 else math.sqrt(n)
+    p_random = min(1.0, 3 * min(p_uniform, 2 * upper(abs(z_runs)), 2 * upper(abs(z_serial))))
+    kind = ["a" if c in string.ascii_lowercase else "A" if c in string.ascii_uppercase else "0" if c in string.digits else "-" for c in body]
+    changes = sum(a != b for a, b in zip(kind[:-1], kind[1:]))
+    usual = min(changes / (n - 1), secrets.TEXT_CHANGES)
+    best = -math.inf
+    for shares in secrets.LANGUAGES:
+        odds = [math.log((1 - secrets.ODD) * x / sum(shares) + secrets.ODD / 26) for x in shares]
+        best = max(best, sum(odds[ord(c.lower()) - 97] for c in body if c.isalpha()))
+    text = math.log(1 / 4) + (changes * math.log(usual / 3) if changes else 0) + ((n - 1 - changes) * math.log(1 - usual) if n - 1 > changes else 0)
+    text += best + kind.count("0") * math.log(secrets.DIGIT) + kind.count("-") * math.log(secrets.SIGN)
+    return p_random, math.exp(min(0.0, math.log(len(secrets.ENCODINGS)) + text + n * math.log(k)))
+
+
+def brute_cutoffs(rows, level):
+    """rows: (length class, p). Benjamini-Hochberg on p-values rounded up to tenths of a decade."""
+    out = {}
+    for c in {c for c, _ in rows}:
+        bins = sorted((min(3000, math.floor(-10 * math.log10(max(p, 1e-300)))) for d, p in rows if d == c), reverse=True)
+        good = [b for b in set(bins) if 10 ** (-b / 10) <= level * sum(x >= b for x in bins) / len(bins)]
+        out[c] = min(good, default=math.inf)
+    return out
+
+
+def test_random_spans_against_brute_force(spark):
+    rng = random.Random(31)
+    tokens = ["".join(rng.choices(x, k=rng.choice([20, 24, 30, 40, 70, 300]))) for _, x in secrets.ENCODINGS for _ in range(6)]
+    words = "wir haben house the river donau dampf schiff internal service path org apache main java build letter morning quiet seven".split()
+    tokens += [rng.choice(["", "-", "_", "/"]).join(rng.choices(words, k=rng.randrange(4, 9))) for _ in range(150)] + ["ab" * 15, "a" * 40, "12" * 20, "A1" * 30 + "==", "=" * 24]
+    texts = [f"see {t} here" for t in tokens] + [f"{tokens[0]} and {tokens[1]}\n{tokens[200]}", "", None, f"password={tokens[3]}"]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string").repartition(3)
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.spans if s["kind"] == 3] for r in secrets.scan(frame).collect()}
+    found = []
+    for i, t in enumerate(texts):
+        base = brute_spans(t)
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t or ""):
+            if not any(a < m.end() and m.start() < b for a, _, b in base):
+                size = next((k for k, top in enumerate(secrets.LENGTH_CLASSES) if len(m[0]) <= top), len(secrets.LENGTH_CLASSES))
+                found.append((i, m.start(), m.end(), size, *brute_battery(m[0])))
+    text, randomness = brute_cutoffs([(f[3], f[5]) for f in found], secrets.FDR), brute_cutoffs([(f[3], f[4]) for f in found], secrets.ALPHA)
+    place = lambda p: min(3000, math.floor(-10 * math.log10(max(p, 1e-300))))
+    want = {}
+    for i, a, b, c, p_random, p_text in found:
+        if place(p_text) >= text[c] and place(p_random) < randomness[c]:
+            want.setdefault(i, []).append((a, b))
+    assert {i: x for i, x in got.items() if x} == want and 40 < sum(map(len, want.values())) < len(found)
+
+
 def test_battery(spark):
     rng = random.Random(4)
     good = ["".join(rng.choices("0123456789abcdef", k=48)) for _ in range(40)]
