@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import udfs as U
 from ..operators import evidence as E
 from ..operators import resolve as R
+from ..sources import readers
 from ..sources.readers import dimension, table
 from .base import Catalog
 from .evidence import NORM
@@ -195,3 +196,12 @@ def debate_board(spark, d):
     )
 
 
+
+
+@query(f"WITH n AS (SELECT DISTINCT regexp_extract({HOST}, '^([^.]+)', 1) AS name FROM pages WHERE page_id < 40), w AS (SELECT name, regexp_replace(name, '[^a-z0-9]+', '', 'g') AS want FROM n), r AS (SELECT page_id AS rid, regexp_replace(lower(regexp_extract(html, '(?i)<title[^>]*>([\\s\\S]*?)</title>', 1)), '[^a-z0-9]+', '', 'g') || ' ' || regexp_replace(lower(url), '[^a-z0-9]+', '', 'g') AS hay FROM pages WHERE {HOST} LIKE '%.%') SELECT name, min(rid) AS rid FROM w JOIN r ON contains(hay, want) WHERE length(want) >= 3 GROUP BY name")
+def lookup_by_name(spark, d):
+    """Pages of stated names: the name must be in the title or the address."""
+    pages = table(spark, d, "pages", "page_id", "url", "html").where(readers.is_page("url"))
+    records = pages.select(F.col("page_id").alias("rid"), F.regexp_extract("html", r"(?i)<title[^>]*>([\s\S]*?)</title>", 1).alias("title"), "url")
+    names = table(spark, d, "pages", "page_id", "url").where("page_id < 40").select(F.regexp_extract(T.url_host("url"), r"^([^.]+)", 1).alias("name"))
+    return readers.lookup(names, records)

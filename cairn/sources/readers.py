@@ -24,6 +24,25 @@ def json_array(spark: SparkSession, path: str, schema: str | None = None, key: s
     return df.select(F.explode_outer(key).alias("item")).select("item.*") if key else df
 
 
+def json_dimension(spark: SparkSession, path: str, schema: str, key: str, under: str | None = None) -> DataFrame:
+    """A dimension with one row per key from a file that is a JSON array, or an object that holds it under a name; rows without a key are dropped, the first of a key stays."""
+    wrapped = f"{under} array<struct<{schema}>>" if under else None
+    rows = json_array(spark, path, wrapped, under) if under else json_array(spark, path, ", ".join(f"{n} {t}" for n, t in (x.split(":", 1) for x in _fields(schema))))
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.first(c).alias(c) for c in rows.columns if c != key))
+
+
+def _fields(schema: str) -> list[str]:
+    """Top-level fields of ``name:type,name:type``."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -55,6 +74,23 @@ def page_records(pages: DataFrame) -> DataFrame:
     )
 
 
+def is_page(url: F.Column | str, directories: tuple[str, ...] = ()) -> F.Column:
+    """Whether an address has a host of its own: one with a dot that is no directory of other pages."""
+    host = T.url_host(url)
+    return host.contains(".") & ~host.isin(*directories) if directories else host.contains(".")
+
+
+def squash(text: F.Column) -> F.Column:
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
+
+
+def lookup(names: DataFrame, records: DataFrame, least: int = 3) -> DataFrame:
+    """(name, rid): for each name (name) the first record (rid, title, url) whose title or address holds it; brackets in a name are asides. Names of a lookup are a stated, small set."""
+    want = names.select("name", squash(F.regexp_replace("name", r"\([^)]*\)", "")).alias("want")).where(F.length("want") >= least).distinct()
+    have = records.select("rid", F.concat_ws(" ", squash(F.col("title")), squash(F.col("url"))).alias("hay"))
+    return have.join(dimension(want), F.contains("hay", "want")).groupBy("name").agg(F.min("rid").alias("rid"))
+
+
 def real_pages(records: DataFrame, kind: str = "kind") -> DataFrame:
     """Drops articles and listings, and addresses without a path."""
     return records.where(~F.coalesce(F.col(kind), F.lit("")).isin(NOT_PROJECT_KINDS)).where(T.url_path("url") != "")

@@ -32,6 +32,19 @@ def split_quarantine(df: DataFrame, error: F.Column, vector_cols: tuple[str, ...
     return marked.where("ingest_error is null").drop("ingest_error"), marked.where("ingest_error is not null").drop(*vector_cols)
 
 
+def write_jsonl(events: DataFrame, path: str) -> None:
+    """One JSON object a line, null fields left out; a rewrite replaces what was there."""
+    events.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+
+
+def documents(records: DataFrame, first_seen: F.Column | None = None) -> DataFrame:
+    """Indexed form of records (rid, year, date, prizes, sections and any other columns): prizes as one text, first seen on the given day, else its own date, else the first day of its
+    year; empty maps and lists of sections become null, so ``to_json`` leaves them out."""
+    dated = F.coalesce(*([first_seen] if first_seen is not None else []), F.col("date"), F.make_date("year", F.lit(1), F.lit(1)))
+    out = records.withColumns({"prize": F.when(F.size("prizes") > 0, F.array_join("prizes", "; ")), "is_winner": F.size("prizes") > 0, "first_seen_at": dated.cast("string"), "date": F.col("date").cast("string")})
+    return out.withColumn("sections", F.when(F.size("sections") > 0, F.col("sections"))).drop("prizes")
+
+
 def resume_after(df: DataFrame, order: list, offset: int, ranges: int = 64) -> DataFrame:
     """Rows after ``offset`` of a deterministic order. The order is cut into ranges by its first column; rows are numbered within the range that holds the offset only,
     and later ranges pass whole, so no task sorts all rows. (A keyset needs no numbering at all.)"""

@@ -216,3 +216,49 @@ def test_fuzzy_quote_without_its_longest_words(spark, tmp_path):
         spark.createDataFrame(rows, f"{key} long, text string").write.parquet(str(tmp_path / f"{name}.parquet"))
     got = ALL["quote_fuzzy"].run(spark, str(tmp_path)).collect()
     assert [(r.item_id, r.rid, r.exact) for r in got] == [(7, 1, False)] and got[0].share >= 0.9
+
+
+PROJECT_PAGE = """<html><head><meta property="og:title" content="Meta title"><meta property="og:description" content="Meta line"></head><body>
+<div id="software-header"><h1 id="app-title"> Tide  Clock </h1><p class="large">Tells when to &amp; where to sail</p></div>
+<div id="app-details-left"><div id="gallery">no</div><div><h2>What it does</h2><p>It reads tide tables.</p><ul><li>fast</ul></div>
+<div id="built-with"><span class="cp-tag">Rust</span><span class="cp-tag recognized">rust</span><span class="cp-tag">SQLite</span></div>
+<nav><ul data-role="software-urls"><li><a href="https://tide.example/">site</a><li><a href="https://github.com/oak/tide">code</a></ul></nav></div>
+<div id="submissions"><div class="software-list-content"><p><a href="https://harbour-2023.events.example/">Harbour Days</a></p><ul><li><span class="winner">Winner</span> Best use of water</li><li>Entered</li></ul></div></div>
+<div id="app-team"><div class="software-team-member"></div><div class="software-team-member"></div></div><a class="like-button"><span class="side-count">17</span></a>
+<time datetime="2023-05-09T10:00:00Z"></time><time datetime="2023-05-02T10:00:00Z"></time><time datetime="soon"></time></body></html>"""
+LISTING = """<div class="gallery-item"><a class="link-to-software" href="https://events.example/software/tide?ref=1"></a><h5>Tide</h5><p class="tagline">Sails</p><aside><img class="winner"></aside></div>
+<div class="gallery-item"><a class="link-to-software" href="https://events.example/software/tide/"></a></div><div class="gallery-item"><a class="link-to-software" href="/about">x</a></div>
+<ul class="pagination"><li class="next"><a href="/software?page=3">Next</a></li></ul>"""
+
+
+def test_pages_to_records(spark):
+    from cairn.sources import pages
+
+    rows = spark.createDataFrame([(1, PROJECT_PAGE), (2, None), (3, "<p>x")], "page_id long, html string")
+    got = {r.page_id: r.x for r in rows.select("page_id", pages.project_page("html").alias("x")).collect()}
+    x = got[1]
+    assert (x.title, x.tagline, x.tech, x.links) == ("Tide Clock", "Tells when to & where to sail", ["rust", "sqlite"], ["https://tide.example/", "https://github.com/oak/tide"])
+    assert (x.hackathon, x.hackathon_id, x.prizes, x.is_winner, x.team_size, x.likes, x.started, x.year) == ("Harbour Days", "harbour-2023", ["Best use of water"], True, 2, 17, "2023-05-02", 2023)
+    assert x.body == "## What it does\n\nIt reads tide tables.\n\n- fast" and got[3].title is None and got[3].is_winner is False and got[2].title is None
+    listing = spark.createDataFrame([(LISTING, "https://events.example/software?page=2"), ("", None)], "html string, url string").select(pages.gallery_page("html", "url").alias("g")).collect()
+    assert [(e.url, e.title, e.tagline, e.is_winner) for e in listing[0].g.entries] == [("https://events.example/software/tide", "Tide", "Sails", True)]
+    assert listing[0].g.next_page == "https://events.example/software?page=3" and listing[1].g.entries == [] and listing[1].g.next_page is None
+
+
+def test_dimensions_filters_and_documents(spark, tmp_path):
+    import json
+
+    (tmp_path / "a.json").write_text(json.dumps([{"id": 1, "name": "x", "themes": [{"id": 5}]}, {"id": None, "name": "y"}, {"id": 1, "name": "x", "themes": [{"id": 5}]}]))
+    (tmp_path / "o.json").write_text(json.dumps({"events": [{"id": 7, "name": "z"}, {"id": 8, "name": None}]}))
+    assert [(r.id, r.name, r.themes[0].id) for r in readers.json_dimension(spark, str(tmp_path / "a.json"), "id:bigint,name:string,themes:array<struct<id:bigint>>", "id").collect()] == [(1, "x", 5)]
+    assert sorted((r.id, r.name) for r in readers.json_dimension(spark, str(tmp_path / "o.json"), "id:bigint,name:string", "id", "events").collect()) == [(7, "z"), (8, None)]
+    urls = ["https://own.example/a", "https://http/www", "https://directory.example/own"]
+    assert strings(spark, lambda u: readers.is_page(u, ("directory.example",)), urls) == [True, False, False]
+    records = spark.createDataFrame([(1, "Tide Clock: home", "https://t.example"), (2, "x", "https://tide-clock.example"), (3, "Cerebrum", "https://c.example")], "rid long, title string, url string")
+    names = spark.createDataFrame([("Tide Clock (app)",), ("Cere",), ("ab",), ("Cerebras",)], "name string")
+    assert sorted(map(tuple, readers.lookup(names, records).collect())) == [("Cere", 3), ("Tide Clock (app)", 1)]
+    rows = spark.createDataFrame([("r1", 2020, None, ["a", "b"], {}), ("r2", None, None, [], {"x": "y"})], "rid string, year int, date date, prizes array<string>, sections map<string,string>")
+    docs = sinks.documents(rows).withColumn("line", F.to_json(F.struct(F.col("*"))))
+    assert [json.loads(r.line) for r in docs.orderBy("rid").collect()] == [{"rid": "r1", "year": 2020, "prize": "a; b", "is_winner": True, "first_seen_at": "2020-01-01"}, {"rid": "r2", "sections": {"x": "y"}, "is_winner": False}]
+    sinks.write_jsonl(docs.drop("line"), str(tmp_path / "lines"))
+    assert readers.jsonl(spark, str(tmp_path / "lines"), "rid string, prize string").orderBy("rid").collect()[0].prize == "a; b"
