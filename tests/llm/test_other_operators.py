@@ -262,6 +262,22 @@ def prose_block(k):
     return f"This is paragraph number {k} of the story, and it is long enough to be decided by the share of words that are frequent in it."
 
 
+def test_very_long_rows_and_clashing_names(spark, tmp_path):
+    """10 MB in one row, and columns that carry the operators' own names, for the operators whose other tests lack them."""
+    words = "the river of the town is long and " * 310_000
+    text = f"{words}card 4111 1111 1111 1111 and {words}"
+    rows = [(1, text, 5, "x"), (1, text, 5, "x"), (2, "", 5, "x"), (3, None, 5, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kind int, start string").repartition(2)
+    got = pii.pseudonyms(frame).collect()
+    assert sorted((r.doc_id, len(r.pii), r.kind, r.start) for r in got) == [(1, 1, 5, "x"), (1, 1, 5, "x"), (2, 0, 5, "x"), (3, 0, 5, "x")]
+    assert all(r.text[: len(words)] == words and len(r.text) == len(text) and "4111 1111 1111 1111" not in r.text for r in got if r.doc_id == 1)
+    pages = spark.createDataFrame([(i, "u", t, 1, "x") for i, t in ((1, text), (2, text), (3, ""))], "page_id long, url string, html string, size int, sha256 string")
+    warc.write_archive(pages, str(tmp_path / "long"))
+    assert {r.page_id: (r.payload_bytes, r.refers_to) for r in warc.read_archive(spark, str(tmp_path / "long")).collect()} == {1: (len(text), 2), 2: (len(text), None), 3: (0, None)}
+    found = licenses.scan(spark.createDataFrame([(1, words + ". Released under the MIT License.", "x")], "doc_id long, text string, sentences string")).first()
+    assert [x.name for x in found.licences] == ["MIT"] and found.licences[0].start == len(words) + 2
+
+
 def test_main_text_scopes_and_names():
     p = [f"<p>{prose_block(k)}</p>" for k in range(4)]
     lines = lambda page: html_text.main_text(page).split("\n")

@@ -127,6 +127,16 @@ def test_merges_and_transducer():
     assert len(shared.final) == 9  # one state per distinct set of suffixes
 
 
+def test_proximity_edges(spark, no_docs):
+    items = spark.createDataFrame([(1, "red boat"), (2, None), (3, ""), (None, "boat red")], "item_id long, text string")
+    assert decontaminate.proximity_matches(decontaminate.build_index(no_docs), items).count() == 0
+    docs = spark.createDataFrame([(7, "a red old boat"), (8, None), (9, "")], "doc_id long, text string")
+    index = materialize(decontaminate.build_index(docs), "postings")
+    got = {(r.doc_id, r.item_id, r.start, r.end) for r in decontaminate.proximity_matches(index, items, within=4).collect()}
+    assert got == {(7, 1, 1, 4), (7, None, 1, 4)}
+    assert decontaminate.phrase_matches(index, items.limit(0)).where("size(items) > 0").count() == 0
+
+
 def test_pre_tokens_of_simple_texts():
     pattern, rng = bpe._patterns()[0], random.Random(11)
     latin = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028)]]
