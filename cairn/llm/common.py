@@ -8,6 +8,7 @@ stands. Two different words share a hash with a probability of about 5e-20.
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -115,6 +116,12 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 1024, few: int = 4096) -> f
             return values[k - above - 1]
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more: it does so when the driver's heap is collected, which may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_views(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into row ranges of about ``max_bytes``.
 

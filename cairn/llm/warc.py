@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import release, shared_path
 
 SALT_ROWS = 10_000
 REVISIT_BYTES = 1000
@@ -66,6 +66,8 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     # packed before they move; the join's keys are those of the de-duplication: one shuffle
     payloads = base.select("page_id", "sha256", "payload").mapInArrow(_packed, "page_id long, sha256 binary, packed binary").join(kept, F.col("page_id").eqNullSafe(F.col("keep_id")) & (F.col("sha256") == F.col("key")))
     payloads.dropDuplicates(["page_id", "sha256"]).select("sha256", "salts", "packed").write.parquet(f"{path}/payloads")
+    del payloads
+    release(pages.sparkSession)
 
     revisit = (F.col("size") >= revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("keep_id"))
     kind = F.when(revisit, "revisit").otherwise("response")
@@ -167,6 +169,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "archive")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    release(spark)  # the archive is written: its shuffles needn't lie beside those of reading it
     return read_archive(spark, path)
 
 
