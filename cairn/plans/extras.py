@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from ..functions import stats as S
 from ..functions import text as T
-from ..sources.readers import table
+from ..operators.graph import badges
+from ..sources.readers import dimension, table
 from .base import TOKENS, Catalog, sql_list
 
 catalog = Catalog()
@@ -80,11 +81,20 @@ def token_sentences(spark, d):
     return rows.select("item_id", (F.col("at") + 1).alias("sentence"), F.size(F.regexp_extract_all("part", F.lit(r"\S+"), F.lit(0))).alias("n")).where("n > 0")
 
 
-@query("""SELECT user_id, array_to_string(list_filter([CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') > 10 THEN 'winner' END, CASE WHEN bool_or(event_type = 'error' AND value > 99) THEN 'conflict' END, CASE WHEN avg(value) > 50 THEN 'crowded' END], lambda x: x IS NOT NULL), ',') AS badges FROM events GROUP BY user_id""")
+@query("""WITH r AS (SELECT doc_id // 4 AS eid, doc_id, source, lang, length(text) AS n, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)), f AS (SELECT source FROM r GROUP BY source HAVING avg(coalesce(toxic, 0)) > 0.06)
+SELECT eid, array_to_string(list_filter([CASE WHEN bool_or(quality = 1) THEN 'winner' END, CASE WHEN count(*) > 1 THEN 'merged' END, CASE WHEN count(DISTINCT lang) > 1 THEN 'conflict' END, CASE WHEN bool_or(quality IS NULL) THEN 'imputed' END,
+CASE WHEN bool_or(toxic = 1) THEN 'ai_written' END, CASE WHEN min(n) < 250 THEN 'left_open' END, CASE WHEN bool_or(f.source IS NOT NULL) THEN 'source_failed' END], lambda x: x IS NOT NULL), ',') AS badges FROM r LEFT JOIN f ON f.source = r.source GROUP BY eid""")
 def entity_badges(spark, d):
-    kind = F.col("event_type")
-    g = table(spark, d, "events").groupBy("user_id").agg(F.count_if(kind == "purchase").alias("p"), F.coalesce(F.bool_or((kind == "error") & (F.col("value") > 99)), F.lit(False)).alias("e"), F.avg("value").alias("v"))
-    return g.select("user_id", F.array_join(F.array_compact(F.array(F.when(F.col("p") > 10, "winner"), F.when(F.col("e"), "conflict"), F.when(F.col("v") > 50, "crowded"))), ",").alias("badges"))
+    """Badges of entities from their records: prizes, merges, conflicts, missing values, detectors, open links and failed sources."""
+    labels = table(spark, d, "labels", "doc_id", "quality", "toxic")
+    r = table(spark, d, "documents", "doc_id", "source", "lang", "text").join(labels, "doc_id", "left").select(F.floor(F.col("doc_id") / 4).alias("eid"), "source", "lang", F.length("text").alias("n"), "quality", "toxic")
+    failed = r.groupBy("source").agg(F.avg(F.coalesce("toxic", F.lit(0))).alias("share")).where("share > 0.06").select("source", F.lit(True).alias("failed"))
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    flags = {
+        "winner": some(F.col("quality") == 1), "merged": F.count(F.lit(1)) > 1, "conflict": F.count_distinct("lang") > 1, "imputed": some(F.col("quality").isNull()), "ai_written": some(F.col("toxic") == 1),
+        "left_open": F.min("n") < 250, "source_failed": some(F.col("failed")),
+    }
+    return r.join(dimension(failed), "source", "left").groupBy("eid").agg(F.array_join(badges(flags), ",").alias("badges"))
 
 
 @query("""SELECT DISTINCT user_id AS eid, 'merge' AS kind, event_type AS detail FROM events WHERE event_type = 'signup' UNION SELECT user_id, 'failed', event_type FROM events WHERE event_type = 'error' AND value > 95 UNION SELECT user_id, 'imputed', CAST(CAST(json_extract(props, '$.k') AS INT) AS VARCHAR) FROM events WHERE event_id % 50 = 0""")

@@ -38,9 +38,9 @@ def semi_join(spark, d):
     return t(spark, d, "customer", "c_custkey").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 200000)")
 def anti_join(spark, d):
-    return t(spark, d, "customer", "c_custkey").join(t(spark, d, "orders", "o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return t(spark, d, "customer", "c_custkey").join(t(spark, d, "orders", "o_custkey", "o_orderpriority", "o_totalprice").where("o_orderpriority = '1-URGENT' and o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("SELECT coalesce(c.k, s.k) AS k, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 8000 GROUP BY 1) s ON c.k = s.k")

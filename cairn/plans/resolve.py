@@ -124,10 +124,12 @@ def possible_same_as(spark, d):
     return links.select(F.least("ea", "eb").alias("a"), F.greatest("ea", "eb").alias("b")).distinct()
 
 
-@query(f"SELECT {HOST} AS host, min(page_id) AS home, count(*) AS pages FROM pages GROUP BY 1")
+@query(f"WITH p AS (SELECT page_id, {HOST} AS host FROM pages), h AS (SELECT host, min(page_id) AS home, count(*) AS pages FROM p GROUP BY host) SELECT page_id, host, home, pages, page_id = home AS is_home FROM p JOIN h USING (host)")
 def fold_hosts(spark, d):
-    """One home page per host; later pages link to it."""
-    return table(spark, d, "pages", "page_id", "url").groupBy(T.url_host("url").alias("host")).agg(F.min("page_id").alias("home"), F.count(F.lit(1)).alias("pages"))
+    """One home page per host, to which the host's other pages link."""
+    pages = table(spark, d, "pages", "page_id", "url").select("page_id", T.url_host("url").alias("host"))
+    homes = pages.groupBy("host").agg(F.min("page_id").alias("home"), F.count(F.lit(1)).alias("pages"))
+    return pages.join(homes, "host").select("page_id", "host", "home", "pages", (F.col("page_id") == F.col("home")).alias("is_home"))
 
 
 @query("SELECT doc_id // 4 AS eid, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs FROM documents GROUP BY 1")

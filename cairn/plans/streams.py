@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import graph
 from ..operators.storage import shared_dir
 from ..sources.readers import table
 from ..streaming import events as V
@@ -150,17 +151,28 @@ def multiset_parity(spark, d):
     return g.where("here <> there")
 
 
-GRAPH = "p AS (SELECT user_id % 40 AS node, event_id AS seq, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'upsert' END AS op, round(value, 4) AS value FROM events), l AS (SELECT node, max_by(op, seq) AS op, max_by(value, seq) AS value FROM p GROUP BY node)"
+GRAPH = """p AS (SELECT user_id AS node, event_id AS seq, CASE event_type WHEN 'error' THEN 'remove' WHEN 'signup' THEN 'update' ELSE 'upsert' END AS op, round(value, 4) AS value, props AS label FROM events),
+rm AS (SELECT node, max(seq) AS removed FROM p WHERE op = 'remove' GROUP BY node), lv AS (SELECT p.* FROM p LEFT JOIN rm USING (node) WHERE op <> 'remove' AND (removed IS NULL OR seq > removed)), nd AS (SELECT node, min(seq) AS made, arg_max(value, seq) AS value FROM lv WHERE op = 'upsert' GROUP BY node),
+lb AS (SELECT node, arg_max(label, seq) AS label FROM lv JOIN nd USING (node) WHERE op = 'update' AND seq > made GROUP BY node)"""
 
 
-@query(f"WITH {GRAPH}, k AS (SELECT node, value FROM l WHERE op = 'upsert'), e AS (SELECT DISTINCT user_id % 40 AS a, event_id % 40 AS b FROM events) SELECT a, b, CAST(ka.node IS NULL OR kb.node IS NULL AS INT) AS pending FROM e LEFT JOIN k ka ON ka.node = a LEFT JOIN k kb ON kb.node = b WHERE a <> b")
+def patches(spark, d):
+    kind = F.col("event_type")
+    op = F.when(kind == "error", "remove").when(kind == "signup", "update").otherwise("upsert")
+    return events(spark, d).select(F.col("user_id").alias("node"), F.col("event_id").alias("seq"), op.alias("op"), F.round("value", 4).alias("value"), F.col("props").alias("label"))
+
+
+@query(f"WITH {GRAPH} SELECT node, value, coalesce(label, '') AS label FROM nd LEFT JOIN lb USING (node)")
 def graph_patches(spark, d):
-    """Nodes by their last patch; links wait until both ends exist."""
-    patches = events(spark, d).select((F.col("user_id") % 40).alias("node"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "remove").otherwise("upsert").alias("op"))
-    nodes = patches.groupBy("node").agg(F.max_by("op", "seq").alias("op")).where("op = 'upsert'").select("node")
-    links = events(spark, d).select((F.col("user_id") % 40).alias("a"), (F.col("event_id") % 40).alias("b")).where("a <> b").distinct()
-    a, b = nodes.select(F.col("node").alias("a"), F.lit(1).alias("ha")), nodes.select(F.col("node").alias("b"), F.lit(1).alias("hb"))
-    return links.join(a, "a", "left").join(b, "b", "left").select("a", "b", (F.col("ha").isNull() | F.col("hb").isNull()).cast("int").alias("pending"))
+    """Nodes after upserts, updates and removals."""
+    return graph.graph_nodes(patches(spark, d)).select("node", "value", F.coalesce("label", F.lit("")).alias("label"))
+
+
+@query(f"WITH {GRAPH}, e AS (SELECT user_id AS a, event_id % 150 AS b, event_type AS kind, arg_max(round(value, 4), event_id) AS weight FROM events WHERE user_id <> event_id % 150 GROUP BY 1, 2, 3) SELECT a, b, kind, weight, x.node IS NULL OR y.node IS NULL AS pending FROM e LEFT JOIN nd x ON x.node = a LEFT JOIN nd y ON y.node = b")
+def graph_links(spark, d):
+    """Keyed links by their last state; those whose ends don't both exist wait."""
+    links = events(spark, d).select(F.col("user_id").alias("a"), (F.col("event_id") % 150).alias("b"), F.col("event_type").alias("kind"), F.col("event_id").alias("seq"), F.round("value", 4).alias("weight"))
+    return graph.graph_edges(links, graph.graph_nodes(patches(spark, d)))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, max(CAST(json_extract(props, '$.k') AS INT)) AS k FROM events GROUP BY ALL")
