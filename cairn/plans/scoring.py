@@ -121,10 +121,10 @@ POISSON = "CASE " + " ".join(f"WHEN u < {sum(math.exp(-1) / math.factorial(j) fo
 
 
 @query(f"""WITH i AS (SELECT source, r, CAST(n_chars AS DOUBLE) AS v, {U} AS u FROM documents, (SELECT unnest(range(1, 101)) AS r)), w AS (SELECT source, r, v, {POISSON} AS w FROM i),
-m AS (SELECT source, r, sum(w * v) / sum(w) AS m FROM w GROUP BY 1, 2 HAVING sum(w) > 0) SELECT source, round(quantile_cont(m, 0.05), 4) AS lo, round(quantile_cont(m, 0.95), 4) AS hi FROM m GROUP BY source""")
+m AS (SELECT source, r, sum(w * v) / sum(w) AS m FROM w GROUP BY 1, 2 HAVING sum(w) > 0) SELECT source, round(quantile_cont(m, 0.05), 6) AS lo, round(quantile_cont(m, 0.95), 6) AS hi FROM m GROUP BY source""")
 def bootstrap_ci(spark, d):
     rows = table(spark, d, "documents", "doc_id", "source", "n_chars").select("source", F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("value"))
-    return P.bootstrap(rows, "source", 100).select("source", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    return P.bootstrap(rows, "source", 100).select("source", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 @query("""WITH p AS (SELECT l_returnflag AS flag, l_quantity AS x, l_extendedprice AS y FROM lineitem), k AS (SELECT flag, rank() OVER (PARTITION BY flag ORDER BY x) + (count(*) OVER (PARTITION BY flag, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY flag ORDER BY y) + (count(*) OVER (PARTITION BY flag, y) - 1) / 2 AS ry FROM p)
