@@ -45,8 +45,8 @@ from .common import NOT_SPACE, Words, discard, materialize, mix, small_batches,
 SHINGLE, PERCENT = 5, 80
 #: Ranges of n-gram hashes; so many of them are counted for all documents.
 FRAGMENTS, PRUNING = 8, 3
-#: N-grams that one task gathers before it sends them on, and n-grams that are counted at once.
-GATHER, PART = 1 << 22, 1 << 20
+#: N-grams that one task gathers before it sends them on, n-grams that are counted at once, and the least number that one row of the shuffle holds on average.
+GATHER, PART, PACKED = 1 << 21, 1 << 19, 32
 #: Members of a bucket that are compared with the others in the first round after that of the single leader; and the factor from round to round.
 LEADERS = 8
 #: Bits of the map that picks the texts whose sets are stored.
@@ -136,7 +136,7 @@ def _held_by_several(grams: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray,
 
 def shared_counts(docs: DataFrame, text_col: str, total: int) -> DataFrame:
     """(d0, shared): how many n-grams of the pruning fragments a set shares with another one at most. ``total``: n-grams to count, which sets how finely they are dealt out."""
-    parts = max(64, total // PART + 1)
+    parts = max(64, min(total // PART + 1, GATHER // PACKED))
     span = (1 << 64) * PRUNING // FRAGMENTS
     edges = np.array([span * k // parts for k in range(1, parts)], dtype=np.uint64)
 
@@ -172,6 +172,17 @@ def shared_counts(docs: DataFrame, text_col: str, total: int) -> DataFrame:
         def result(sets: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(sets), pa.array(counts.astype(np.int64))], names=["d0", "shared"])
 
+        def whole_part() -> Iterator[pa.RecordBatch]:
+            """One part, in ranges of about PART n-grams."""
+            grams, sets = np.concatenate(held), np.concatenate(owners)
+            ranges = len(grams) // PART + 1
+            low, high = int(grams.min()), int(grams.max()) + 1
+            cuts = [low + (high - low) * k // ranges for k in range(ranges + 1)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                some = slice(None) if ranges == 1 else (grams >= a) & (grams < b)
+                if ranges == 1 or some.any():
+                    yield result(*_held_by_several(grams[some], sets[some])[2:])
+
         for batch in batches:
             for k, done in enumerate(batch.column(1).to_pylist()):
                 x, y = (batch.column(c)[k].values.to_numpy() for c in (2, 3))
@@ -179,13 +190,13 @@ def shared_counts(docs: DataFrame, text_col: str, total: int) -> DataFrame:
                     yield result(y, x)
                     continue
                 if batch.column(0)[k].as_py() != part and held:
-                    yield result(*_held_by_several(np.concatenate(held), np.concatenate(owners))[2:])
+                    yield from whole_part()
                     held, owners = [], []
                 part = batch.column(0)[k].as_py()
                 held.append(x)
                 owners.append(y)
         if held:
-            yield result(*_held_by_several(np.concatenate(held), np.concatenate(owners))[2:])
+            yield from whole_part()
 
     lists = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(dealt, "part int, counted boolean, x array<long>, y array<long>")
     return lists.repartition("part").sortWithinPartitions("part").mapInArrow(counted, "d0 long, shared long").groupBy("d0").agg(F.sum("shared").alias("shared"))

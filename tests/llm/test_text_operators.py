@@ -194,6 +194,24 @@ def test_jaccard(spark, texts, leaders, monkeypatch):
     assert got == brute_components(more)
 
 
+def test_shared_counts_in_ranges():
+    """How many n-grams each set shares, against counting in plain Python."""
+    rng = np.random.default_rng(4)
+    grams, owners = rng.integers(0, 3000, 4000).astype(np.int64), rng.integers(1, 90, 4000).astype(np.int64)
+    owners[:30] = 0  # several sets of another task
+    holders = {}
+    for g, o in zip(grams.tolist(), owners.tolist()):
+        holders.setdefault(g, set()).add(o)
+    want = {}
+    for sets in holders.values():
+        if len(sets) > 1:
+            for o in sets - {0}:
+                want[o] = want.get(o, 0) + 1
+    firsts, own, sets, counts = jaccard._held_by_several(grams, owners)
+    assert dict(zip(sets.tolist(), counts.tolist())) == want
+    assert {g: (0 if len(holders[g]) > 1 or 0 in holders[g] else next(iter(holders[g]))) for g in holders} == dict(zip(firsts.tolist(), own.tolist()))
+
+
 def test_jaccard_edges(spark, no_docs):
     assert jaccard.join_components(no_docs).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words stand in this row"), (None, "a b c d e f"), (2, None)], "doc_id long, text string")
