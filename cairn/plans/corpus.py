@@ -97,9 +97,9 @@ def npmi_pairs(spark, d):
 
 
 @query(f"""SELECT term, df, round(greatest(0, least(1, 1 - ln(1 + df) / ln(2001))), 6) AS rarity, round(greatest(0, least(1, 1 - ln(1 + df) / ln(201))), 6) AS pair_rarity
-FROM (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS})) AS term FROM documents) GROUP BY term) WHERE df >= 100""")
+FROM (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS})) AS term FROM documents) GROUP BY term)""")
 def rarity_from_df(spark, d):
-    df = C.document_frequency(docs(spark, d), T.tokens("text")).where("df >= 100")
+    df = C.document_frequency(docs(spark, d), T.tokens("text"))
     return df.select("term", "df", F.round(S.rarity_from_df(F.col("df")), 6).alias("rarity"), F.round(S.rarity_from_df(F.col("df"), S.PAIR_CAP), 6).alias("pair_rarity"))
 
 
@@ -120,18 +120,20 @@ SELECT term, f AS fg_count, b AS bg_count, round(2 * (CASE WHEN f > 0 THEN f * l
  + CASE WHEN b - f > 0 THEN (b - f) * ln((b - f) / ((bn - fn) * (b / bn))) ELSE 0 END + CASE WHEN bn - fn - (b - f) > 0 THEN (bn - fn - (b - f)) * ln((bn - fn - (b - f)) / ((bn - fn) * (1 - b / bn))) ELSE 0 END), 4) AS score
 FROM c, s WHERE f / fn > b / bn ORDER BY score DESC, term LIMIT 20""")
 def significant_terms(spark, d):
-    return C.significant_terms(docs(spark, d), "text", T.tokens("text"), F.array_contains("words", "thing"))
+    return C.significant_terms(docs(spark, d), "text", T.content("words"), F.array_contains("words", "thing"))
 
 
 @query(f"""WITH r AS (SELECT CAST(list_contains({WORDS}, 'ering') AS INT) AS near, unnest(list_distinct({TOKENS})) AS term FROM documents)
 SELECT term, count(*) AS global_count, CAST(sum(near) AS BIGINT) AS neighbourhood_count FROM r GROUP BY term HAVING count(*) >= 25 AND sum(near) <= 1 ORDER BY global_count DESC, term LIMIT 25""")
 def whitespace_candidates(spark, d):
-    return C.whitespace_candidates(docs(spark, d), T.tokens("text"), F.array_contains("words", "ering"), min_global=25)
+    return C.whitespace_candidates(docs(spark, d), T.content("words"), F.array_contains("words", "ering"), min_global=25)
 
 
-@query("SELECT CAST(CASE WHEN count(*) >= 100000 THEN 500 ELSE greatest(25, round_even(500 * count(*) / 261940, 0)) END AS INT) AS min_global FROM documents")
+@query("WITH c AS (SELECT 'documents' AS corpus, count(*) AS n FROM documents UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem) SELECT corpus, CAST(CASE WHEN n >= 100000 THEN 500 ELSE greatest(25, round_even(500 * n / 262000, 0)) END AS INT) AS min_global FROM c")
 def effective_min_global(spark, d):
-    return docs(spark, d).agg(F.count(F.lit(1)).alias("n")).select(C.effective_min_global(F.col("n")).alias("min_global"))
+    """Least global count by the size of a corpus, for tables of three sizes."""
+    sizes = [table(spark, d, name).agg(F.lit(name).alias("corpus"), F.count(F.lit(1)).alias("n")) for name in ("documents", "orders", "lineitem")]
+    return sizes[0].unionByName(sizes[1]).unionByName(sizes[2]).select("corpus", C.effective_min_global(F.col("n")).alias("min_global"))
 
 
 @query(f"SELECT count(*) AS projects, max(n_chars) AS latest FROM documents WHERE list_has_all({WORDS}, ['thing']) AND list_has_all({WORDS}, ['thble'])")
