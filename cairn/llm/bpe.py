@@ -457,6 +457,15 @@ def encode(df: DataFrame, codec: Codec, text_col: str = "text", out_col: str = "
     return df.mapInArrow(encoded, StructType([*df.schema.fields, StructField(out_col, ArrayType(IntegerType(), False))]))
 
 
+def _plain(lists: pa.Array, table: list[bytes], sizes: np.ndarray) -> pa.Array:
+    """Texts of lists of token ids."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ids = lists.flatten().to_numpy()
+    data = b"".join(map(table.__getitem__, ids.tolist()))
+    cuts = np.concatenate(([0], np.cumsum(sizes[ids])))[np.concatenate(([0], np.cumsum(n)))]
+    return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string())
+
+
 def decode(df: DataFrame, codec: Codec, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the text of the token ids (null ids: empty); bytes that are no UTF-8 become replacement characters."""
     if out_col in df.columns:
@@ -469,18 +478,32 @@ def decode(df: DataFrame, codec: Codec, ids_col: str = "ids", out_col: str = "de
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                lists = part.column(at)
-                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                ids = lists.flatten().to_numpy()
-                data = b"".join(map(table.__getitem__, ids.tolist()))
-                ends = np.concatenate(([0], np.cumsum(n)))
-                cuts = np.concatenate(([0], np.cumsum(sizes[ids])))[ends]
-                texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, _plain(part.column(at), table, sizes)], names=[*part.schema.names, out_col])
 
     return df.mapInArrow(decoded, StructType([*df.schema.fields, StructField(out_col, StringType())]))
 
 
+def encode_and_decode(df: DataFrame, codec: Codec, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """Adds the token ids of each whole text and the text of those ids, in one pass: a second one would keep a second Python worker with a vocabulary of its own beside each task."""
+    for name in (ids_col, out_col):
+        if name in df.columns:
+            raise ValueError(f"column {name} is taken")
+    at = df.columns.index(text_col)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = codec.encoder()
+        table = encoder.vocabulary.bytes_of
+        sizes = np.array([len(x) for x in table], dtype=np.int64)
+        for batch in batches:
+            for first, n, data, _ in text_views(batch.column(at)):
+                part = batch.slice(first, n)
+                bounds, ids = encoder.encode([x or "" for x in part.column(at).to_pylist()], bool(len(data) and data.max() >= NEWER_LEAD))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, _plain(lists, table, sizes)], names=[*part.schema.names, ids_col, out_col])
+
+    return df.mapInArrow(both, StructType([*df.schema.fields, StructField(ids_col, ArrayType(IntegerType(), False)), StructField(out_col, StringType())]))
+
+
 def vocabulary_file() -> str:
     import public_tokenizers
 
@@ -499,5 +522,5 @@ def digests(df: DataFrame) -> list:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     codec = fit_lexicon(docs, vocabulary_file())
-    coded = decode(encode(docs, codec).select("doc_id", "ids"), codec)
+    coded = encode_and_decode(docs, codec)
     return coded.select("doc_id", *digests(coded))

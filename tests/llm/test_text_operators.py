@@ -97,6 +97,8 @@ def test_bpe_matches_the_library(spark, docs, texts, tokenizer, no_docs):
         assert r.tokens == want and r.plain == tokenizer.decode(want, skip_special_tokens=False) == (r.text or "")
     with pytest.raises(ValueError):
         bpe.encode(docs, codec)  # the column is taken
+    apart = {r.doc_id: (r.tokens, r.plain) for r in coded}
+    assert {r.doc_id: (r.tokens, r.plain) for r in bpe.encode_and_decode(everything, codec, "text", "tokens", "plain").collect()} == apart
     empty = bpe.fit_lexicon(no_docs, bpe.vocabulary_file())
     assert empty.words == 0 and bpe.encode(no_docs, empty).count() == 0
     assert bpe.encode(docs.drop("ids"), empty).where("doc_id = 5").first().ids == tokenizer.encode(texts[5], add_special_tokens=False).ids
