@@ -65,7 +65,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*(c for c in ("doc_id", "lang", "source", "text") if c in docs.columns))
     codec = bpe.fit_lexicon(docs, bpe.vocabulary_file())
-    coded = bpe.decode(bpe.encode(docs, codec), codec)
+    coded = bpe.encode_and_decode(docs, codec)
     return coded.select(*(c for c in docs.columns if c != "text"), *bpe.digests(coded), F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("round_trip"))
 
 
