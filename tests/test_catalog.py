@@ -56,3 +56,26 @@ def test_entry_without_training_operators(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(ALL) <= set(entry.queries())
+
+
+def same_as_sql(spark, path, name, **tables):
+    """A query over small tables of (schema, rows) gives the rows of its SQL."""
+    con = duckdb.connect()
+    for table, (schema, data) in tables.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{path}/{table}.parquet")
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
+    got, want = rows(ALL[name].run(spark, str(path)).toPandas()), rows(con.sql(ALL[name].sql).df())
+    assert got == want
+    return want
+
+
+def test_sql_functions_of_busy_hosts_and_odd_texts(spark, tmp_path):
+    texts = ["One. Two! Three", "One. Two! Three", "a.\vb", "a.\u00a0", "\u3000 ", "\n", "a. \n\nb?", "", None, "..!", "line\n"]
+    docs = [(max(i, 1), x) for i, x in enumerate(texts)]  # two rows of id 1
+    hosts = ["https://www.busy.example/"] * 300 + ["http://edge.example:80/x"] * 200 + ["HTTPS://İΑΣ.example", "nohost", "", None]
+    want = same_as_sql(spark, tmp_path, "sql_functions", documents=("doc_id long, text string", docs), pages=("page_id long, url string", list(enumerate(hosts))))
+    assert f"('busy.example', {round(1 - math.log(301) / math.log(201), 6)}, 'rarity')" in want and "('edge.example', 0.0, 'rarity')" in want and want.count("('1', 3.0, 'sentences')") == 2
+    spark.createDataFrame(docs, "i long, text string").createOrReplaceTempView("odd_texts")
+    got = spark.sql("SELECT i, place, sentence FROM odd_texts, LATERAL cairn_sentences(text) WHERE i IN (2, 3, 6) ORDER BY 1, 2").collect()
+    assert [tuple(r) for r in got] == [(2, 1, "a."), (2, 2, "\vb"), (3, 1, "a."), (6, 1, "a. \n\n".strip(" ")), (6, 2, "b?")]
+    assert spark.sql("SELECT cairn_rarity(300, 200)").first()[0] == 0
